@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text worked on at once inside a task; bounds the temporary arrays.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 #: True for the six ASCII white-space bytes (0x20, 0x09-0x0D).
 SPACE = np.zeros(256, bool)
