@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from latticework.llm import common as C
 
 #: Bytes of text of one shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Windows of one broadcast block (each at most `width` 8-byte hashes), and characters of item ids.
 WINDOWS = 100_000
 
@@ -150,7 +150,8 @@ def search(index: DataFrame, wanted: DataFrame, span: int | None = None) -> Data
             every = np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in phrases)])
             edge = np.concatenate(([0], np.cumsum([len(w) for w, _ in phrases], dtype=np.int64))) if phrases else np.zeros(1, np.int64)
             for b in batches:
-                for row in b.to_pylist():
+                for r in range(b.num_rows):
+                    row = b.slice(r, 1).to_pylist()[0]
                     s = Shard(row)
                     lo, hi = s.lists(every)
                     least = np.minimum.reduceat(hi - lo, edge[:-1]) if len(every) else np.zeros(0)
