@@ -33,7 +33,7 @@ ITEMS, ISLANDS, EPOCHS, GENERATIONS = 4096, 2, 2, 6
 #: Bins filled less than this share are dissolved and packed again with those of other problems.
 WELL_FILLED = 0.995
 #: Texts' chunks whose ids a worker remembers.
-REMEMBER = 600_000
+REMEMBER = 1_200_000
 #: ASCII signs but the apostrophe, which may start a piece with letters.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 

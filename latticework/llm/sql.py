@@ -1,3 +1,44 @@
-"""SQL of the queries that SQL can express."""
+"""SQL of the queries that SQL can express. The others depend on fitted models, XXH64 or tokenizers, and
+are tested against brute force, round trips or held-out accuracy instead."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from latticework.llm import urlfilter
+
+#: Words are what lies between white space; a window is named by its words.
+OP5 = r"""
+with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+p as (select doc_id, w, len(w) as n from d),
+v as (select doc_id, s, array_to_string(list_slice(w, s + 1, s + 20), ' ') as t from (select doc_id, w, unnest(range(0, greatest(n - 19, 0))) as s from p)),
+r as (select doc_id, s from (select doc_id, s, row_number() over (partition by t order by doc_id, s) as k from v) where k > 1),
+g as (select distinct doc_id, unnest(range(s, s + 20)) as i from r),
+k as (select p.doc_id, q.i, q.word from p, (select doc_id as id, unnest(range(0, n)) as i, unnest(w) as word from p) q where q.id = p.doc_id),
+l as (select k.doc_id, string_agg(word, ' ' order by k.i) as kept, count(*) as m from k left join g on g.doc_id = k.doc_id and g.i = k.i where g.i is null group by 1)
+select p.doc_id, cast(n as bigint) as n_words, cast(n - coalesce(m, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from p left join l using (doc_id)"""
+
+
+def url_filter() -> str:
+    rules = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{v}')" for r, v in urlfilter.RULES)
+    hosts = " or ".join(f"host = '{h}' or ends_with(host, '.{h}')" for h in urlfilter.BLOCKED_HOSTS)
+    return rf"""
+with p as (select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1, 's') as path from pages),
+r(h, q, rule, verdict) as (values {rules}),
+m as (select page_id, host, path, arg_max(rule, length(rule)) as rule, arg_max(r.verdict, length(rule)) as says from p left join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, q) group by all)
+select page_id, host, path, rule, coalesce(says, case when {hosts} then 'block' else 'allow' end) as verdict from m"""
+
+
+OP8 = r"""
+with d as (select doc_id, list_filter(string_split_regex(lower_ascii, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_ascii from documents)),
+b as (select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
+bw as (select distinct item_id, least(10, len(w)) as n, array_to_string(list_slice(w, s + 1, s + least(10, len(w))), ' ') as t from (select item_id, w, unnest(range(0, greatest(len(w) - 9, 1))) as s from b where len(w) > 0)),
+sizes as (select distinct n from bw),
+dw as (select doc_id, n, s, array_to_string(list_slice(w, s + 1, s + n), ' ') as t from (select doc_id, w, n, unnest(range(0, greatest(len(w) - n + 1, 0))) as s from d, sizes)),
+hits as (select doc_id, dw.n, s, item_id from dw join bw on bw.t = dw.t and bw.n = dw.n),
+words as (select doc_id, count(*) as c from (select distinct doc_id, unnest(range(s, s + n)) as i from hits) group by 1),
+items as (select doc_id, count(*) as c, string_agg(i, ',' order by i) as l from (select distinct doc_id, cast(item_id as varchar) as i from hits) group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(words.c, 0) as bigint) as n_hit, cast(coalesce(items.c, 0) as bigint) as n_items,
+    sha256(coalesce(items.l, '')) as items_sha256, coalesce(words.c, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)"""
+
+ORACLES: dict[str, str] = {"op5_substring": OP5, "op6_urlfilter": url_filter(), "op8_decontamination": OP8}
