@@ -29,10 +29,11 @@ class Log:
 
     def append(self, rows: DataFrame, op: str) -> None:
         """Rows with the key column and, for PUT, the value column; of equal keys in one batch any may win."""
-        columns = [x.split()[0] for x in self.schema.split(", ")]
+        types = dict(x.split(" ", 1) for x in self.schema.split(", "))
+        columns = list(types)
         seq = F.lit(time.time_ns())
         have = rows.columns
-        out = [seq.alias("seq"), F.lit(op).alias("op"), *[F.col(c) if c in have else F.lit(None).alias(c) for c in columns[2:]]]
+        out = [seq.alias("seq"), F.lit(op).alias("op"), *[(F.col(c) if c in have else F.lit(None)).cast(types[c]).alias(c) for c in columns[2:]]]
         out = rows.select(*out).withColumn("bucket", self.bucket(F.col(self.key)))
         out.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.path)
 
