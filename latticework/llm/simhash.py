@@ -63,10 +63,11 @@ def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, shingle: int = 3, seed
     begin = starts[begin].tolist()
     h = xxhash.xxh64_intdigest
     hashes = np.fromiter((h(text[a:b], seed) for a, b in zip(begin, stop, strict=True)), np.uint64, len(begin))
-    full = np.flatnonzero(count)
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    ones = np.add.reduceat(bits, first[full], axis=0, dtype=np.int64)
-    out[full] = np.packbits(2 * ones > count[full, None], axis=1).view(">u8").ravel().astype(np.uint64)
+    octets = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    for k in np.flatnonzero(count).tolist():  # one text at a time: the bits take eight times the hashes
+        own = octets[first[k] : first[k + 1]]
+        ones = sum(np.unpackbits(own[i : i + 65536], axis=1).sum(0, dtype=np.int64) for i in range(0, len(own), 65536))
+        out[k] = np.packbits(2 * ones > count[k]).view(">u8")[0]
     return out
 
 
