@@ -2,8 +2,8 @@
 
 Each task hashes every window of its documents, keeps the first of equal ones (by doc_id, then start) and
 reports the others as repeated. The first ones go, with their place, to a bucket by hash range; there
-equal hashes of all tasks meet and all but the first are reported too. The reported windows come back by
-document and merge into maximal removal intervals. The number of buckets follows the amount of text, and
+equal hashes of all tasks meet and all but the first are reported too. The reported windows come back
+packed for each part of the documents and merge into maximal removal intervals. The number of buckets follows the amount of text, and
 a task gives at most one row of a bucket per hash, so frequent passages do not gather anywhere.
 
 Hashes have 64 bits: two different windows share one with a chance of n^2 / 2^65 over n windows.
@@ -50,15 +50,25 @@ def merged(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 OUT = pa.schema([("bucket", pa.int64()), ("hashes", pa.binary()), ("runs", pa.binary()), ("starts", pa.binary())])
-HITS = pa.schema([("uid", pa.int64()), ("starts", pa.binary())])
+HITS = pa.schema([("part", pa.int64()), ("runs", pa.binary()), ("starts", pa.binary())])
 
 
-def by_document(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Each document with the starts (unsigned 32-bit) of its windows."""
-    order = np.argsort(ids, kind="stable")
-    ids, starts = ids[order], starts[order].astype(np.uint32)
-    edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(ids)), bool), ids[1:] != ids[:-1])))
-    return ids[edge], [x.tobytes() for x in np.split(starts, edge[1:])] if len(edge) else []
+def prime(n: int) -> int:
+    """The smallest prime of at least n."""
+    while n < 2 or any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def by_part(uids: np.ndarray, starts: np.ndarray, parts: int) -> list[tuple[int, bytes, bytes]]:
+    """Windows (document, start) packed together for each part of the documents, uid modulo parts."""
+    if not len(uids):
+        return []
+    part = uids % parts
+    order = np.lexsort((starts, uids, part))
+    part, uids, starts = part[order], uids[order], starts[order]
+    edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    return [(int(part[i]), *encode_runs(uids[i:j], starts[i:j])) for i, j in zip(edge, [*edge[1:], len(part)], strict=True)]
 
 
 def encode_runs(d: np.ndarray, s: np.ndarray) -> tuple[bytes, bytes]:
@@ -71,19 +81,18 @@ def encode_runs(d: np.ndarray, s: np.ndarray) -> tuple[bytes, bytes]:
     return runs, (step.astype("<u2") if step.max() < 65536 else step.astype("<u4")).tobytes()
 
 
-def decode_runs(n: int, runs: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray]:
+def decode_runs(runs: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray]:
     k = len(runs) // 12
     many = np.frombuffer(runs, "<u4", k, 8 * k).astype(np.int64)
+    n = int(many.sum())
     step = np.frombuffer(starts, "<u2" if len(starts) == 2 * n else "<u4").astype(np.int64)
     total, begin = np.cumsum(step), np.cumsum(many) - many
     return np.repeat(np.frombuffer(runs, "<i8", k), many), (total - np.repeat(total[begin] - step[begin], many)).astype(np.uint32)
 
 
-def repeated(rows: DataFrame, width: int = 20) -> DataFrame:
-    """(uid, starts) of (uid, text) with unique uids: the starts of windows whose words also start
-    earlier. A document may have several rows."""
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET_BYTES))
+def repeated(rows: DataFrame, buckets: int, parts: int, width: int = 20) -> DataFrame:
+    """(part, runs, starts) of (uid, text) with unique uids: the starts of windows whose words also start
+    earlier, packed for each part of the documents."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,20 +100,18 @@ def repeated(rows: DataFrame, width: int = 20) -> DataFrame:
             ids = b.column(0).to_numpy()
             raw, offsets = C.utf8(b.column(1))
             for lo, hi in C.chunks(offsets, 16 << 20):
-                parts = []
+                done = []
                 for i, j in C.chunks(offsets[lo : hi + 1]):
                     i, j = i + lo, j + lo
                     h, doc, start = window_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-                    parts.append((h, (doc + i).astype(np.int32), start.astype(np.uint32)))
-                h, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-                del parts
+                    done.append((h, (doc + i).astype(np.int32), start.astype(np.uint32)))
+                h, doc, start = (np.concatenate(x) for x in zip(*done, strict=True))
+                del done
                 _, kept = np.unique(h, return_index=True)
                 again = np.ones(len(h), bool)
                 again[kept] = False
-                own, lists = by_document(ids[doc[again]], start[again])
-                if len(own):
-                    none = pa.nulls(len(own), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(buckets + own % buckets), none, pa.array([x.tobytes() for x in own], pa.binary()), pa.array(lists, pa.binary())], schema=OUT)
+                for part, runs, packed in by_part(ids[doc[again]], start[again], parts):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((buckets + part, None, runs, packed), OUT.types, strict=True)], schema=OUT)
                 kept.sort()
                 h, doc, start = h[kept], doc[kept], start[kept]
                 where = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -117,10 +124,9 @@ def repeated(rows: DataFrame, width: int = 20) -> DataFrame:
     def second(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
         columns = [table[c].to_pylist() for c in ("hashes", "runs", "starts")]
         if key[0].as_py() >= buckets:  # reported already
-            ids = np.frombuffer(b"".join(columns[1]), np.int64)
-            return pa.table([pa.array(ids), pa.array(columns[2], pa.binary())], schema=HITS)
+            return pa.table([pa.array([key[0].as_py() - buckets] * table.num_rows, pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], schema=HITS)
         h = np.frombuffer(b"".join(columns[0]), np.uint64)
-        doc, start = (np.concatenate(x) for x in zip(*(decode_runs(len(a) // 8, b, c) for a, b, c in zip(*columns, strict=True)), strict=True))
+        doc, start = (np.concatenate(x) for x in zip(*map(decode_runs, *columns[1:]), strict=True))
         del columns, table
         order = np.argsort(h)
         same = np.zeros(len(h) + 1, bool)
@@ -130,11 +136,10 @@ def repeated(rows: DataFrame, width: int = 20) -> DataFrame:
         order = np.lexsort((start, doc, h))
         h, doc, start = h[order], doc[order], start[order]
         later = np.concatenate((np.zeros(min(1, len(h)), bool), h[1:] == h[:-1]))
-        ids, lists = by_document(doc[later], start[later])
-        return pa.table([pa.array(ids), pa.array(lists, pa.binary())], schema=HITS)
+        return pa.Table.from_pylist([dict(zip(HITS.names, x, strict=True)) for x in by_part(doc[later], start[later], parts)], schema=HITS)
 
     windows = rows.mapInArrow(first, "bucket long, hashes binary, runs binary, starts binary")
-    return windows.groupBy("bucket").applyInArrow(second, "uid long, starts binary")
+    return windows.groupBy("bucket").applyInArrow(second, "part long, runs binary, starts binary")
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -152,27 +157,37 @@ def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
     """(doc_id, n_words, n_removed, kept_text, removed): what is left of each document, its words joined
     by one space, and the removed intervals (of words, end exclusive)."""
     rows = numbered(docs, id_col, text_col)
-    hits = repeated(rows.select("uid", "text"), width).groupBy("uid").agg(F.collect_list("starts").alias("starts"))
-    joined = rows.join(hits, "uid", "left").select("doc_id", "text", "starts")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw, offsets = C.utf8(b.column(1))
-            hits = b.column(2).to_pylist()
-            for i, j in C.chunks(offsets):
-                part = raw[offsets[i] : offsets[j]]
-                starts, ends, at = C.word_spans(part, offsets[i : j + 1] - offsets[i])
-                text, out = part.tobytes(), []
-                for k in range(i, j):
-                    lo, hi = int(at[k - i]), int(at[k - i + 1])
-                    a, z = merged(np.frombuffer(b"".join(hits[k] or []), np.uint32).astype(np.int64), width)
-                    gone = np.zeros(hi - lo + 1, np.int32)
-                    gone[a] += 1
-                    gone[z] -= 1
-                    keep = np.flatnonzero(np.cumsum(gone[:-1]) == 0) + lo
-                    kept = b" ".join([text[x:y] for x, y in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)])
-                    out.append((hi - lo, hi - lo - len(keep), kept, np.stack((a, z), axis=1).tolist()))
-                n, removed, kept, spans = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64())))], names=["doc_id", "n_words", "n_removed", "kept_text", "removed"])
-
-    return joined.mapInArrow(work, "doc_id long, n_words long, n_removed long, kept_text string, removed array<array<long>>")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    parts = prime(buckets)
+    names = ("doc_id", "n_words", "n_removed", "kept_text", "removed")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
+
+    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
+        hits = [decode_runs(x["runs"], x["starts"]) for x in right.select(["runs", "starts"]).to_pylist()]
+        uids, at_word = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*hits, strict=True) if hits else ((), ())))
+        order = np.argsort(uids, kind="stable")
+        uids, at_word = uids[order], at_word[order].astype(np.int64)
+        own = left["uid"].to_numpy()
+        low, high = np.searchsorted(uids, own, "left"), np.searchsorted(uids, own, "right")
+        raw, offsets = C.utf8(left["text"])
+        ids, out = left["doc_id"].to_pylist(), []
+        for i, j in C.chunks(offsets):
+            piece = raw[offsets[i] : offsets[j]]
+            starts, ends, at = C.word_spans(piece, offsets[i : j + 1] - offsets[i])
+            text = piece.tobytes()
+            for k in range(i, j):
+                lo, hi = int(at[k - i]), int(at[k - i + 1])
+                a, z = merged(at_word[low[k] : high[k]], width)
+                gone = np.zeros(hi - lo + 1, np.int32)
+                gone[a] += 1
+                gone[z] -= 1
+                keep = np.flatnonzero(np.cumsum(gone[:-1]) == 0) + lo
+                kept = b" ".join([text[x:y] for x, y in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)])
+                out.append((ids[k], hi - lo, hi - lo - len(keep), kept.decode(), np.stack((a, z), axis=1).tolist()))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=names)
+
+    part = F.pmod("uid", F.lit(parts)).alias("part")
+    hits = repeated(rows.select("uid", "text"), buckets, parts, width)
+    pairs = rows.select("uid", "doc_id", "text", part).groupBy("part").cogroup(hits.groupBy("part"))
+    return pairs.applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept_text string, removed array<array<long>>")
