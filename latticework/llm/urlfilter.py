@@ -122,7 +122,7 @@ def judge(pages: DataFrame, rules=RULES, blocked=BLOCKED_HOSTS, id_col: str = "p
     verdicts = dict(rules)
     listed = [*verdicts, *blocked]
     rows = rows.withColumn("keys", keys_of(F.col("host"), F.col("path"), listed))
-    names = spark.createDataFrame([(x,) for x in listed], "key string")
+    names = spark.range(1).select(F.explode(F.array(*map(F.lit, listed)).cast("array<string>")).alias("key"))
     cascade = build(names, rows.select(F.explode("keys").alias("key")))
     found = rows.withColumn("found", F.filter("keys", cascade.contains))
     is_rule = lambda x: F.contains(x, F.lit("/"))
