@@ -140,7 +140,7 @@ def test_kneser_ney_sums_to_one_and_blocks_agree(docs):
         k = np.array([int.from_bytes(context, "big") << 8 | x for x in range(256)], np.uint64)
         assert abs(np.exp(arrays.logp("en", k)).sum() - 1) < 1e-4
     n = model.count()
-    key = lambda r: (r.doc_id or -1, r.n_words, r.n_bytes)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.n_words, r.n_bytes)
     one = sorted(perplexity.score(docs, model, 3).collect(), key=key)
     many = sorted(perplexity.score(docs, model, 3, entries=n // 3).collect(), key=key)
     assert [r.n_repeat_words for r in one] == [r.n_repeat_words for r in many]
