@@ -3,7 +3,7 @@ are tested against brute force, round trips or held-out accuracy instead."""
 
 from __future__ import annotations
 
-from latticework.llm import urlfilter
+from latticework.llm import secrets, urlfilter
 
 #: Words are what lies between white space; a window is named by its words.
 OP5 = r"""
@@ -41,4 +41,27 @@ select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(words.c, 0) as
     sha256(coalesce(items.l, '')) as items_sha256, coalesce(words.c, 0) > 0 as contaminated
 from d left join words using (doc_id) left join items using (doc_id)"""
 
-ORACLES: dict[str, str] = {"op5_substring": OP5, "op6_urlfilter": url_filter(), "op8_decontamination": OP8}
+
+def secret_scan() -> str:
+    """Matches and the pieces between them alternate, so running sums of their lengths are the places."""
+    found = []
+    for order, (kind, pattern, group, least) in enumerate((*secrets.BASE, *secrets.RULES)):
+        p = "'" + pattern.replace("}+", "}").replace("'", "''") + "'"
+        found.append(f"select r, {order} as o, '{kind}' as kind, {least} as least, regexp_extract_all(t, {p}, 0) as w, regexp_extract_all(t, {p}, {group}) as j, string_split_regex(t, {p}) as g from d")
+    numbers = ", ".join(f"coalesce({k}, 0) as n_{k}" for k, *_ in secrets.BASE)
+    counts = ", ".join(f"count(*) filter (kind = '{k}') as {k}" for k, *_ in secrets.BASE)
+    return f"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+m as ({" union all ".join(found)}),
+x as (select r, o, kind, least, unnest(w) as w, unnest(j) as j, unnest(g[1:len(w)]) as g, unnest(range(len(w))) as i from m where len(w) > 0),
+p as (select r, o, kind, least, length(j) as n, length(w) as size, sum(length(g) + length(w)) over (partition by r, o order by i) as z from x),
+s as (select r, o, kind, cast(z - size as bigint) as a, cast(z as bigint) as z from p where n >= least),
+b as (select r, {counts}, string_agg(kind || ':' || a || ':' || z, ',' order by a, o) as base from s where o < {len(secrets.BASE)} group by r),
+free as (select * from s where o >= {len(secrets.BASE)} and not exists (select 1 from s q where q.r = s.r and q.o < {len(secrets.BASE)} and s.a < q.z and q.a < s.z)),
+chosen as (select r, list_reduce(list([{{'kind': kind, 'o': o, 'a': a, 'z': z}}] order by a, o), lambda done, y: if(y[1].a >= done[-1].z, done || y, done)) as l from free group by r),
+every as (select r, kind, o, a, z from s where o < {len(secrets.BASE)} union all select r, y.kind, y.o, y.a, y.z from (select r, unnest(l) as y from chosen)),
+e as (select r, string_agg(kind || ':' || a || ':' || z, ',' order by a, o) as spans from every group by r)
+select doc_id, {numbers}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join b using (r) left join e using (r)"""
+
+
+ORACLES: dict[str, str] = {"op5_substring": OP5, "op6_urlfilter": url_filter(), "op8_decontamination": OP8, "op9_secrets": secret_scan()}

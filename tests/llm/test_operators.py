@@ -354,6 +354,25 @@ def test_secrets_against_brute_force(spark, docs, rows, empty):
     assert secrets.scan_incremental(empty)[0].count() == 0
 
 
+def test_secret_sql_equals_the_query(spark, tmp_path):
+    import duckdb
+
+    from latticework.llm import queries, sql
+
+    hidden = "xoxb-" + "Z" * 30
+    texts = ["é token = \"abcdefghijkl1\" x", f"secret={hidden} {hidden}", "ghp_" + "Z" * 36 + " gho_" + "0a" * 20, f"AIza{'x' * 31}xoxb-{'1' * 40}", "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12,
+             "-----BEGIN RSA PRIVATE KEY-----\n" + "AKIA" + "Q" * 16, "deadbeefdeadbeef\ndeadbeef", "", None, "f" * 30_000, "token:token:abcdefghijklmnop"]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts])] + [(None, texts[0]), (0, texts[1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_secrets(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"select {', '.join(got.columns)} from ({sql.ORACLES['op9_secrets']})").fetchall()
+    key = lambda r: (str(r[0]), r[5])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert {s.split(":")[0] for r in want for s in r[5].split(",") if s} == {k for k, *_ in (*secrets.BASE, *secrets.RULES)}
+
+
 def test_quality_rules_and_columns(spark, empty):
     rng = random.Random(8)
     rows, labels = [], []
