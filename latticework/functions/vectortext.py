@@ -39,6 +39,6 @@ def formatted(vector: Column) -> Column:
 
 def results_json(results, order: str = "rank"):
     """One row, column results: the hits (id, distance) of a result in order, as a JSON list."""
-    hit = F.struct(order, F.format_string('{"id": %d, "distance": %.6f}', F.col("id"), F.col("distance")).alias("j"))
+    hit = F.struct(order, "id", F.format_string('{"id": %d, "distance": %.6f}', F.col("id"), F.col("distance")).alias("j"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(hit)), lambda x: x["j"]), ", ")
     return results.agg(F.concat(F.lit("["), joined, F.lit("]")).alias("results"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,32 +11,43 @@ STEP = 100
 
 
 class Limiter:
-    """Slots of a server. Acquiring never waits."""
+    """Slots of a server, shared by its threads. Acquiring never waits."""
 
     def __init__(self, most: int = 1000) -> None:
         self.most, self.active = most, 0
+        self.lock = threading.RLock()  # a signal may come while its own thread holds it
 
     def acquire(self) -> bool:
-        if self.active >= self.most:
-            return False
-        self.active += 1
-        return True
+        with self.lock:
+            if self.active >= self.most:
+                return False
+            self.active += 1
+            return True
 
     def release(self) -> None:
-        self.active = max(0, self.active - 1)
+        with self.lock:
+            self.active = max(0, self.active - 1)
 
     def update(self, most: int) -> None:
-        if most <= 0:
-            raise ValueError("limit must be positive")
-        if most < self.active:
-            raise ValueError("limit is below the active connections")
-        self.most = most
+        with self.lock:
+            if most <= 0:
+                raise ValueError("limit must be positive")
+            if most < self.active:
+                raise ValueError(f"limit {most} is below the {self.active} active connections")
+            self.most = most
 
     def increase(self, by: int = STEP) -> None:
-        self.update(self.most + by)
+        with self.lock:
+            self.update(self.most + by)
 
     def decrease(self, by: int = STEP) -> None:
-        self.update(self.most - by)
+        with self.lock:
+            self.update(self.most - by)
+
+    def figures(self) -> dict:
+        """The columns of connection_stats, of now."""
+        with self.lock:
+            return {"active_connections": self.active, "max_connections": self.most, "usage_percentage": self.active / self.most * 100, "available_slots": self.most - self.active}
 
     def stats(self, spark: SparkSession) -> DataFrame:
         return connection_stats(spark.createDataFrame([(self.active, self.most)], "active int, most int"))
@@ -49,15 +62,15 @@ class Limiter:
         spark.createDataFrame(row, "max_connections int, last_updated string").write.mode("overwrite").json(path)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Limiter:
-        """The saved limit; 1000 where none was saved."""
+    def load(cls, spark: SparkSession, path: str, most: int = 1000) -> Limiter:
+        """The saved limit; `most` where none was saved."""
         from pyspark.errors import AnalysisException
 
         try:
             row = spark.read.schema("max_connections int, last_updated string").json(path).first()
         except AnalysisException:
             row = None
-        return cls(row["max_connections"] if row else 1000)
+        return cls(row["max_connections"] if row else most)
 
 
 def connection_stats(rows: DataFrame) -> DataFrame:

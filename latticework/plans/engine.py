@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from latticework.sources import stores
 
 SPACES = "name string, engine_type string, dimension int, index_type string, metric string, enable_wal boolean"
 USERS = "username string, password_hash string, role string, permissions map<string, string>"
+#: Commands that change spaces or users; only admins may give them.
+CHANGES = ("CREATE_SPACE", "DELETE_SPACE", "CREATE_USER", "UPDATE_USER_PASSWORD", "UPDATE_USER_ROLE", "UPDATE_USER_PERMISSIONS", "DELETE_USER")
 
 
 @dataclass
@@ -44,6 +47,7 @@ class Engine:
         self.spaces = {r["name"]: catalog.Space(**r) for r in self._spaces.read()}
         self.users = auth.Users([auth.User(r["username"], r["password_hash"], r["role"], r["permissions"] or {}) for r in self._users.read()], admin_password)
         self.current: str | None = None
+        self.changes = threading.RLock()
 
     # spaces
     def create_space(self, space: catalog.Space) -> str:
@@ -155,11 +159,18 @@ class Engine:
             raise auth.AuthError("permission denied")
 
     def execute(self, q: Query, user: auth.User):
-        """The reply to a command: text, or a DataFrame for what lists or searches."""
+        """The reply to a command: text, or a DataFrame for what lists or searches. Commands that change
+        spaces or users take turns."""
         self.authorize(user, q)
+        if q.type in CHANGES:
+            with self.changes:
+                return self._run(q, user)
+        return self._run(q, user)
+
+    def _run(self, q: Query, user: auth.User):
         row = lambda schema, *v: self.spark.createDataFrame([v], schema)
         new = q.new_user
-        if q.type in ("CREATE_SPACE", "DELETE_SPACE", "CREATE_USER", "UPDATE_USER_PASSWORD", "UPDATE_USER_ROLE", "UPDATE_USER_PERMISSIONS", "DELETE_USER", "GET_USER") and self.users.get(user.username).role != auth.ADMIN:
+        if q.type in (*CHANGES, "GET_USER") and self.users.get(user.username).role != auth.ADMIN:
             raise auth.AuthError("permission denied")
         match q.type:
             case "CREATE_SPACE":
@@ -201,6 +212,11 @@ class Engine:
                 return self.users.describe(q.data)
         raise ValueError("unsupported query type")
 
+    @staticmethod
+    def _hits(found: DataFrame) -> str:
+        """Hits in the order of the search: by rank, or by distance for a range search."""
+        return T.results_json(found, "rank" if "rank" in found.columns else "distance").first()["results"]
+
     @staticmethod
     def _id(key: str) -> int:
         try:
@@ -208,12 +224,15 @@ class Engine:
         except ValueError:
             raise ValueError("invalid vector id") from None
 
-    def reply(self, line: str, user: auth.User) -> str:
-        """A JSON command to a JSON reply."""
+    def reply(self, line: str, user: auth.User, text: bool = False) -> str:
+        """A JSON command to a JSON reply. With text, lists and hits are JSON text within the message, as
+        clients on the wire expect them, else plain lists."""
         try:
             q = Query(**json.loads(line))
             out = self.execute(q, user)
-            if isinstance(out, DataFrame):
+            if isinstance(out, DataFrame) and text:
+                out = json.dumps({"status": "OK", "spaces": [r["name"] for r in out.collect()]}) if q.type == "LIST_SPACES" else self._hits(out)
+            elif isinstance(out, DataFrame):
                 out = [r.asDict() for r in out.collect()]
             return json.dumps({"status": "OK", "value" if q.type == "GET" else "message": out})
         except (ValueError, KeyError, PermissionError, TypeError) as e:
