@@ -7,9 +7,11 @@ with log-probabilities and back-off weights beside them. A block of at most ENTR
 at a time; a larger model is cut by the two bytes before the predicted one, so that each block holds all
 that its predictions need, and the partial sums of the blocks add up to the same scores.
 
-A document is rejected if its log-perplexity lies outside its language's band: the median of the documents
-that pass the base rules, less LOWER or plus UPPER robust deviations. A language of fewer than FEW such
-documents has no band.
+A text is judged by the log-perplexities of equal parts of it, of about PART bytes each, so that a clean text is
+not rejected for a passage in another language. It is rejected if even its lower quartile lies above its
+language's upper band, or even its upper quartile below the lower band: the medians of those quartiles over the
+documents that pass the base rules, plus UPPER or less LOWER robust deviations of them. A language of fewer than
+FEW such documents has no bands.
 
 Nulls: a null text has no words and perplexity null; a null language is a group of its own. Null and
 repeated ids stay as they are. Other columns are ignored.
@@ -28,7 +30,8 @@ from latticework.llm import common as C
 
 ORDER = 5
 ENTRIES = 4_000_000
-LOWER, UPPER, FEW = 12.0, 12.0, 20
+LOWER, UPPER, FEW = 12.0, 4.0, 20
+PART = 128
 
 #: Digits become one symbol; zero bytes are left to the padding before a text.
 FOLD = np.arange(256, dtype=np.uint64)
@@ -191,13 +194,14 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def score(docs: DataFrame, model: DataFrame, order: int = ORDER, entries: int = ENTRIES, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang, base counts, nll, n_bytes): nll is the negative log-likelihood of the text."""
+    """(doc_id, lang, base counts, nll, n_bytes, parts): nll is the negative log-likelihood of the text, parts
+    has the mean one of a byte in each part of the text."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     blocks = max(1, -(-model.count() // entries))
     slim = slim.withColumn("uid", F.monotonically_increasing_id())
     if blocks > 1:
         slim = C.materialize(slim, "numbered")
-    schema = "uid long, doc_id long, lang string, " + ", ".join(f"{x} long" for x in BASE) + ", nll double, n_bytes long"
+    schema = "uid long, doc_id long, lang string, " + ", ".join(f"{x} long" for x in BASE) + ", nll double, n_bytes long, parts array<float>"
     names = [x.split()[0] for x in schema.split(", ")]
     found = None
     for block in range(blocks):
@@ -225,37 +229,49 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, entries: int =
                     part = raw[offsets[i] : offsets[j]]
                     k = batch_grams(part, own, order)
                     code = np.repeat(np.arange(j - i), np.diff(own))
-                    nll = np.zeros(j - i)
+                    size = np.diff(own)
+                    many = np.where(size > 0, np.maximum(size // PART, 1), 0)
+                    edge = np.concatenate(([0], np.cumsum(many)))
+                    inside = (np.arange(len(k)) - own[code]) * many[code] // size[code] + edge[code]
+                    sums = np.zeros(edge[-1])
                     use = np.ones(len(k), bool) if blocks == 1 else block_of(order, "p", k, blocks) == block
                     for lang in set(langs[i:j].tolist()):
                         at = np.flatnonzero(use & (langs[i:j] == lang)[code])
                         if len(at):
-                            nll -= np.bincount(code[at], arrays.logp(lang, k[at]), j - i)
+                            sums -= np.bincount(inside[at], arrays.logp(lang, k[at]), len(sums))
+                    nll = np.bincount(np.repeat(np.arange(j - i), many), sums, j - i)
+                    parts = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array((sums / np.maximum(1, np.bincount(inside, minlength=len(sums)))).astype(np.float32)))
                     counts = base_counts(part, own) if block == 0 else [np.zeros(j - i, np.int64)] * 5
-                    rows = [b.column(3)[i:j], b.column(0)[i:j], b.column(1)[i:j], *(pa.array(c.astype(np.int64)) for c in counts), pa.array(nll), pa.array(np.diff(own))]
+                    rows = [b.column(3)[i:j], b.column(0)[i:j], b.column(1)[i:j], *(pa.array(c.astype(np.int64)) for c in counts), pa.array(nll), pa.array(size), parts]
                     yield pa.RecordBatch.from_arrays(rows, names=names)
 
         one = slim.select("doc_id", "lang", "text", "uid").mapInArrow(work, schema)
         found = one if found is None else found.union(one)
     if blocks > 1:
         first = [F.first(c).alias(c) for c in ("doc_id", "lang", "n_bytes")]
-        found = found.groupBy("uid").agg(*first, *[F.sum(c).alias(c) for c in (*BASE, "nll")])
-    return C.materialize(found.select("doc_id", "lang", *BASE, "nll", "n_bytes"), "perplexity")
+        found = found.groupBy("uid").agg(*first, *[F.sum(c).alias(c) for c in (*BASE, "nll")], F.collect_list("parts").alias("p"))
+        added = F.aggregate(F.slice("p", 2, blocks), F.get("p", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda u, v: u + v))  # a list of each block
+        found = found.withColumn("parts", added)
+    return C.materialize(found.select("doc_id", "lang", *BASE, "nll", "n_bytes", "parts"), "perplexity")
 
 
 def judge(scored: DataFrame, lower: float = LOWER, upper: float = UPPER, few: int = FEW) -> DataFrame:
-    """Adds base_failed, log_ppl, the band and kept."""
+    """Adds base_failed, log_ppl (of the whole text), the quartiles q1 and q3 of its parts, the bands and kept."""
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    x = scored.withColumn("base_failed", failed).withColumn("log_ppl", F.expr("nll / nullif(n_bytes, 0)"))
-    good = x.where("not base_failed and log_ppl is not null")
-    middle = good.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("mid"), F.count(F.lit(1)).alias("n"))
-    spread = good.join(C.small(C.materialize(middle, "middle")), "lang").groupBy("lang").agg(F.first("mid").alias("mid"), F.first("n").alias("n"), (1.4826 * F.percentile_approx(F.abs(F.col("log_ppl") - F.col("mid")), 0.5, 10_000)).alias("mad"))
-    bands = spread.where(F.col("n") >= few).select("lang", (F.col("mid") - lower * F.col("mad")).alias("low"), (F.col("mid") + upper * F.col("mad")).alias("high"))
+    x = scored.withColumn("base_failed", failed).withColumn("log_ppl", F.expr("nll / nullif(n_bytes, 0)")).withColumn("parts", F.array_sort("parts"))
+    quartile = lambda k: F.get("parts", F.expr(f"cast((size(parts) - 1) * {k} div 4 as int)")).cast("double")
+    x = x.withColumn("q1", quartile(1)).withColumn("q3", quartile(3)).drop("parts")
+    good = x.where("not base_failed and q1 is not null").select("lang", "q1", "q3")
+    median = lambda c, name: F.percentile_approx(c, 0.5, 10_000).alias(name)
+    middle = good.groupBy("lang").agg(median("q1", "m1"), median("q3", "m3"), F.count(F.lit(1)).alias("n"))
+    apart = good.join(C.small(C.materialize(middle.where(F.col("n") >= few), "middle")), "lang")
+    apart = apart.groupBy("lang").agg(F.first("m1").alias("m1"), F.first("m3").alias("m3"), median(F.abs(F.col("q1") - F.col("m1")), "s1"), median(F.abs(F.col("q3") - F.col("m3")), "s3"))
+    bands = apart.select("lang", (F.col("m3") - lower * 1.4826 * F.col("s3")).alias("low"), (F.col("m1") + upper * 1.4826 * F.col("s1")).alias("high"))
     x = x.join(C.small(C.materialize(bands, "bands")), "lang", "left")
-    inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
-    return x.withColumn("kept", ~F.col("base_failed") & inside)
+    outside = F.coalesce((F.col("q3") < F.col("low")) | (F.col("q1") > F.col("high")), F.lit(False))
+    return x.withColumn("kept", ~F.col("base_failed") & ~outside)
 
 
 def quality_rules(docs: DataFrame, order: int = ORDER, **options) -> DataFrame:
-    """(doc_id, lang, base counts, base_failed, log_ppl, low, high, kept) of every document."""
+    """(doc_id, lang, base counts, base_failed, log_ppl, q1, q3, low, high, kept) of every document."""
     return judge(score(docs, estimate(count(docs, order), order), order, **options))

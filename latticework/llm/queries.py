@@ -18,7 +18,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = perplexity.quality_rules(C.read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
-    return found.select("doc_id", *perplexity.BASE, "base_failed", "kept", "log_ppl")
+    return found.select("doc_id", *perplexity.BASE, "base_failed", "kept", "log_ppl", "q1", "q3")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,9 @@ def test_kneser_ney_sums_to_one_and_blocks_agree(docs):
     many = sorted(perplexity.score(docs, model, 3, entries=n // 3).collect(), key=key)
     assert [r.n_repeat_words for r in one] == [r.n_repeat_words for r in many]
     assert np.allclose([r.nll for r in one], [r.nll for r in many], rtol=1e-6)
+    for a, b in zip(one, many, strict=True):
+        assert len(a.parts) == (max(1, a.n_bytes // perplexity.PART) if a.n_bytes else 0) and np.allclose(a.parts, b.parts, rtol=1e-4)
+        assert len(a.parts) == 0 or abs(np.mean(a.parts) / (a.nll / a.n_bytes) - 1) < 0.1
 
 
 def test_perplexity_bands_reject_garbage(spark):
@@ -154,6 +157,17 @@ def test_perplexity_bands_reject_garbage(spark):
     model = perplexity.estimate(perplexity.count(spark.createDataFrame(rows[:-1], SCHEMA), 3), 3)
     got = {r.doc_id: r for r in perplexity.judge(perplexity.score(spark.createDataFrame(rows, SCHEMA), model, 3)).collect()}
     assert not got[900].base_failed and not got[900].kept and got[1].kept
+    assert sum(r.kept for r in got.values()) >= 0.9 * sum(not r.base_failed for r in got.values())
+
+
+def test_perplexity_keeps_a_text_with_a_foreign_passage(spark):
+    rows = corpus(160, 5)
+    own, other = (next(r[1] for r in rows if r[2] == lang and len(r[1].split()) > 150) for lang in ("en", "fr"))
+    mixed = (901, own + " " + " ".join(other.split()[:90]), "en", 0, "", "", 0.0)
+    foreign = (902, other, "en", 0, "", "", 0.0)
+    model = perplexity.estimate(perplexity.count(spark.createDataFrame(rows, SCHEMA), 3), 3)
+    got = {r.doc_id: r for r in perplexity.judge(perplexity.score(spark.createDataFrame([*rows, mixed, foreign], SCHEMA), model, 3)).collect()}
+    assert got[901].kept and not got[902].kept and not got[902].base_failed and got[901].log_ppl > got[901].q1
 
 
 @pytest.mark.parametrize("capacity", [64, 2048])
