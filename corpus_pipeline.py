@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import common as C
-from latticework.llm import packing, postings, quality, secrets, simhash
+from latticework.llm import neardup, packing, postings, quality, secrets
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,15 +23,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near-duplicates the document with the smallest doc_id. Rows of one
-    doc_id are one document; rows without an id are kept."""
-    found = simhash.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if not again.isEmpty():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept.select(*COLUMNS)
+    """Keeps of each component of near-duplicates (Jaccard similarity of five-word shingles at least 0.8) the
+    row with the smallest doc_id, nulls last. Rows are judged one by one, whatever their doc_id."""
+    return neardup.survivors(docs).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +49,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality_filter),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("benchmark decontamination", decontaminate),
     ("secret scans", redact_secrets),
     ("best-fit packing", pack),

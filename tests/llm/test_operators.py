@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from latticework.llm import langid, packing, perplexity, pii, postings, quality, secrets, simhash, substring, urlfilter
+from latticework.llm import langid, neardup, packing, perplexity, pii, postings, quality, secrets, simhash, substring, urlfilter
 from latticework.llm import common as C
 
 SCHEMA = "doc_id long, text string, lang string, fp long, st string, blob string, score double"
@@ -450,3 +450,44 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     packed = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).collect()
     t = Tokenizer.from_file(packing.tokenizer_path())
     assert sum(r.length for r in packed) == sum(1 + len(t.encode(x or "", add_special_tokens=False).ids) for x in kept[3].values())
+
+
+@pytest.mark.parametrize("limit", [2048, 4])
+def test_pipeline_drops_all_similar_texts(spark, monkeypatch, limit):
+    """Copies with every k-th word changed, chains and texts without words, against all pairs of five-word
+    shingles; small parts force the split of large blocks."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(neardup, "PART_TEXTS", limit)
+    rng = random.Random(21)
+    made = []
+    for base in range(12):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((4, 60, 250, 400)))]
+        for changes in (0, 1, 3, 6, 9, 15, 40):
+            x = list(w)
+            for k in rng.sample(range(len(w)), min(changes, len(w))):
+                x[k] = f"v{rng.randrange(5000)}"
+            made.append(" ".join(x))
+        for _ in range(6):  # a chain
+            w = w[max(1, len(w) // 15) :] + [f"c{rng.randrange(5000)}" for _ in range(len(w) // 15)]
+            made.append(" ".join(w))
+    made += ["", " \n", None, made[1].upper()]
+    rng.shuffle(made)
+    sets = []
+    for t in made:
+        w = [x.lower() for x in words(t)]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root, missed = list(range(len(made))), 0
+    for i in range(len(made)):
+        for j in range(i):
+            similar = 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            missed += similar and (fingerprint(made[i]) ^ fingerprint(made[j])).bit_count() > 3
+            if similar and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert missed > 50  # pairs that three bits of a fingerprint do not link
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(made)], schema)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root)) and kept.columns == docs.columns
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
