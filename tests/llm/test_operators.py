@@ -491,3 +491,18 @@ def test_pipeline_drops_all_similar_texts(spark, monkeypatch, limit):
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root)) and kept.columns == docs.columns
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_judges_rows_without_or_with_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in ((1, text("a")), (None, text("a") + " x"), (2, text("b")), (2, text("c")), (None, text("d")), (None, text("d")), (3, text("e")), (3, text("e")), (4, text("f")), (4, text("g")), (None, text("f") + " y"), (None, None))], schema)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    found = Counter((r.doc_id, (r.text or "-")[0]) for r in kept.collect())
+    assert found == Counter([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (3, "e"), (4, "f"), (4, "g"), (None, "-")])
+    spark.createDataFrame([(1, " ".join(text("d").split()[5:25])), (2, " ".join(text("f").split()[:15]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert Counter((r.doc_id, (r.text or "-")[0]) for r in clean.collect()) == Counter([(1, "a"), (None, "a"), (2, "b"), (2, "c"), (3, "e"), (3, "e"), (4, "g"), (None, "-")])
+    assert clean.columns == kept.columns == docs.columns
