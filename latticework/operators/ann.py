@@ -67,6 +67,21 @@ def ivf_topk(lists: DataFrame, cs: list[list[float]], query: list[float], k: int
     return V.topk(lists.where(F.col("list_id").isin(nearest_list(query, cs, probes))), query, k, metric)
 
 
+def ranked(found: DataFrame, k: int, metric: str) -> DataFrame:
+    """(query_id, rank, id, distance): the k nearest of each query of (query_id, id, d), ties by id."""
+    w = Window.partitionBy("query_id").orderBy(M.nearest_first(metric, F.col("d")), "id")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(1, k))
+    return best.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("d", 6).alias("distance"))
+
+
+def ivf_join(queries: DataFrame, lists: DataFrame, cs: list[list[float]], k: int, metric: str = "L2", probes: int = 1) -> DataFrame:
+    """ivf_topk of every query (id, vector)."""
+    check_metric(metric)
+    d = F.array_sort(F.array(*[F.struct(M.distance("L2", F.col("vector"), V.literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(cs)]))
+    sought = queries.where("vector is not null").select(F.col("id").alias("query_id"), F.col("vector").alias("q"), F.explode(F.slice(d, 1, probes)["i"]).alias("list_id"))
+    return ranked(lists.join(sought, "list_id").select("query_id", "id", M.distance(metric, F.col("vector"), F.col("q")).alias("d")), k, metric)
+
+
 def write_lists(space: DataFrame, cs: list[list[float]], path: str) -> None:
     assign(space, cs).repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
 
@@ -118,6 +133,20 @@ class ProductQuantizer:
         listed = self.topk(codes, query, short * max(1, k), metric).select("id")
         return V.topk(space.join(F.broadcast(listed), "id", "left_semi"), query, k, metric)
 
+    def join(self, queries: DataFrame, codes: DataFrame, space: DataFrame, k: int, metric: str = "L2", share: float = 0.2, short: int = 20) -> DataFrame:
+        """The exact k nearest of every query (id, vector) from a short list by codes, of short * k rows or a share of
+        the table, whichever is more."""
+        check_metric(metric)
+        w, n = self.width, max(short * max(1, k), int(-(-share * codes.count() // 1)))
+        part = lambda i: F.slice("vector", i * w + 1, w)
+        tables = F.array(*[F.array(*[M.distance(metric, part(i), V.literal(c)) for c in b.tolist()]) for i, b in enumerate(self.books)])
+        sought = queries.where("vector is not null").select(F.col("id").alias("query_id"), F.col("vector").alias("q"), tables.alias("tables"))
+        terms = F.transform("codes", lambda c, i: F.get(F.get("tables", i), c.cast("int")))
+        d = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
+        listed = ranked(codes.crossJoin(sought).select("query_id", "id", d.alias("d")), n, metric).select("query_id", "id")
+        near = listed.join(space.select("id", "vector"), "id").join(sought.select("query_id", "q"), "query_id")
+        return ranked(near.select("query_id", "id", M.distance(metric, F.col("vector"), F.col("q")).alias("d")), k, metric)
+
 
 def hashed_topk(space: DataFrame, query: list[float], k: int, bucket: float = 1.0, tables: int = 8) -> DataFrame:
     """Approximate L2 search by random-projection hashing."""

@@ -18,6 +18,8 @@ ORACLES: dict[str, str] = {}
 
 #: The stored vector that the searches look for, and the query of the inverted-list search.
 QUERY_ID, IVF_QUERY_ID, LISTS = 7, 77, 16
+#: Lists that the search of 32 lists reads for each query.
+PROBES = 24
 
 
 def query(name: str, sql: str | None = None):
@@ -196,14 +198,14 @@ def ivf_fixed_centroids_probe1(spark: SparkSession, d: str) -> DataFrame:
 def ivf_kmeans_topk(spark: SparkSession, d: str) -> DataFrame:
     s = space(spark, d)
     cs = ann.centres(s, 32).tolist()
-    return ann.ivf_topk(ann.assign(s, cs), cs, stored(s, IVF_QUERY_ID), 10)
+    return ann.ivf_join(s.where("id % 20 = 0"), ann.assign(s, cs), cs, 10, probes=PROBES)
 
 
 @query("pq_topk")
 def pq_topk(spark: SparkSession, d: str) -> DataFrame:
     s = space(spark, d)
     pq = ann.ProductQuantizer.fit(s, 64, 8, codes=64)
-    return pq.topk(pq.encode(s), stored(s, QUERY_ID), 10)
+    return pq.join(s.where("id % 20 = 0"), pq.encode(s), s, 10)
 
 
 @query("pq_rerank")

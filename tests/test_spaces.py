@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from latticework.functions import metrics as M
 from latticework.functions import vectortext as T
 from latticework.operators import ann, auth, catalog, kv, management, vectors
+from latticework.plans import catalogue
 from latticework.plans.engine import Engine, Query
 from latticework.sources import stores
 from latticework.streaming import upsert
@@ -188,3 +189,14 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() == 10
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["ivf_kmeans_topk", "pq_topk"])
+def test_index_queries_find_most_neighbours_of_every_query(spark, name):
+    where = "/root/testdata/sf0.1"
+    s = catalogue.space(spark, where)
+    exact = {(r.query_id, r.id) for r in vectors.knn_join(s.where("id % 20 = 0"), s, 10).collect()}
+    found = {(r.query_id, r.id) for r in catalogue.queries()[name](spark, where).collect()}
+    recall = len(exact & found) / len(exact)
+    print(name, "recall", recall)
+    assert len(found) == len(exact) and recall >= 0.9
