@@ -29,29 +29,73 @@ def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. spark.checkpoint.dir names it; only where that is unset
-    (tests on one machine) a temporary folder is made and set."""
+    """The folder that all executors share. spark.checkpoint.dir names it; where that is unset a temporary
+    folder is made and set on one machine, and refused on a cluster, whose executors could not read it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="latticework-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that holds this application's intermediate tables."""
+    return f"{shared_dir(spark)}/latticework-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there, and a lost
     executor costs no more than its own tasks."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that `materialize` wrote and nothing needs any more."""
+    spark = table.sparkSession
+    own = scratch_dir(spark).rpartition("/")[2]
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if folder.rpartition("/")[0].endswith(own):
+            delete(spark, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are written."""
+    delete(spark, scratch_dir(spark))
+
+
 def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: A key with more than 1 / HOT of all rows is hot, so there are fewer than HOT such keys.
+HOT = 1000
+
+
+def join_counted(many: DataFrame, one: DataFrame, key: str, rows: str, total: int, how: str = "inner") -> DataFrame:
+    """many joined with one, which has each key once and in column `rows` how many rows of many have it, `total` in
+    all. The rows of hot keys, which may be a third of all, meet a broadcast of fewer than HOT rows and stay
+    where they are; the others are shuffled by key."""
+    hot = F.col(rows) * HOT > total
+    few = one.where(hot)
+    if few.isEmpty():
+        return many.join(one, key, how)
+    few = F.broadcast(few)
+    spared = many.join(few, key)
+    rest = many.join(few.select(key), key, "left_anti").join(one.where(~hot | hot.isNull()), key, how)
+    return spared.unionByName(rest)
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
@@ -133,12 +177,26 @@ def rolling(values: np.ndarray, width_start: np.ndarray, width_end: np.ndarray,
     return (prefix[width_end] - prefix[width_start]) * inverse[width_start]
 
 
-#: A fixed random 64-bit number for each byte, from a fixed seed.
-BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Masks of the first k bytes of a little-endian 64-bit number.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
-    """A 64-bit hash of each word."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = BASE) -> np.ndarray:
+    """A 64-bit hash of each word: its blocks of eight bytes are each mixed with their place in the word, and the
+    sum of those is mixed again. (A polynomial modulo 2**64 would collide on some regular words of 1024 bytes.)"""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    return mix(rolling(BYTE_VALUES[raw], starts, ends, base) + (ends - starts).astype(np.uint64))
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    blocks = np.ndarray(len(raw), "<u8", padded, 0, (1,))
+    length = ends - starts
+    h = mix((blocks[starts] & FIRST_BYTES[np.minimum(length, 8)]) + np.uint64(seed))
+    long = np.flatnonzero(length > 8)
+    if len(long):
+        many = (length[long] - 1) // 8
+        first = np.cumsum(many) - many
+        place = np.arange(many.sum()) - np.repeat(first, many) + 1
+        at = np.repeat(starts[long], many) + 8 * place
+        rest = np.minimum(np.repeat(ends[long], many) - at, 8)
+        more = mix((blocks[at] & FIRST_BYTES[rest]) + np.uint64(seed) * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)))
+        h[long] += np.add.reduceat(more, first)
+    return mix(h + length.astype(np.uint64))

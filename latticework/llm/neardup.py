@@ -1,11 +1,13 @@
-"""Near-duplicates of word shingles: MinHash cells give candidates, an exact Jaccard check decides.
+"""Near-duplicates of five-word shingles: SimHash links and MinHash cells give candidates, an exact Jaccard check decides.
 
 The shingles of a text are its different runs of five words (A-Z lowered; shorter texts are one shingle). Two
-texts are linked if their sets have a Jaccard similarity of at least 0.8. Fingerprints of 64 bits cannot tell:
-at 0.8 they differ in about 10 bits, give or take 3. So each different text goes into 28 cells, each of
+texts are linked if their sets have a Jaccard similarity of at least 0.8. The SimHash operator finds those whose 64-bit
+fingerprints over these shingles differ in at most 3 bits. It cannot find all: at 0.8 they differ in about 10 bits,
+give or take 3, where popcounts of segments hold no pair back. So each different text also goes into 28 cells, each of
 4 minima of its shingles; a linked pair shares no cell with probability (1 - 0.8^4)^28 = 4e-7 at most. Texts that
-share cells, directly or by others, form a block; inside a block every pair in different components is compared by
-its whole sets. A block that is too large for one task is split into sub-blocks for each pair of its parts.
+share cells or fingerprint components, directly or by others, form a block; inside a block every pair in different
+components is compared by its whole sets. A block that is too large for one task is split into sub-blocks for each pair
+of its parts.
 
 A text is known by its 64-bit hash, so rows with null or repeated ids are judged like all others.
 """
@@ -27,7 +29,7 @@ SHINGLE, CELLS, MINIMA = 5, 28, 4
 LEAST = (4, 5)
 #: Texts and shingles of one part of a block; two parts meet in one task.
 PART_TEXTS, PART_SHINGLES = 2048, 4 << 20
-#: Candidates that one broadcast holds; more go out in several.
+#: Candidates that a broadcast may hold (16 bytes each); more are joined.
 CANDIDATES = 4 << 20
 FACTORS = np.random.default_rng(51).integers(0, 1 << 63, CELLS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -67,46 +69,58 @@ def cells_of(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, doc_id, cells) of each row; node is the hash of the text."""
+    """(node, doc_id, cells, fp) of each row; node is the hash of the text, fp its fingerprint."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = C.utf8(b.column(2))
-            parts = [cells_of(*shingles(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in C.chunks(offsets)]
-            flat = np.concatenate([np.zeros((0, CELLS), np.uint64), *parts]).view(np.int64).ravel()
+            parts, fps = [np.zeros((0, CELLS), np.uint64)], [np.zeros(0, np.uint64)]
+            for i, j in C.chunks(offsets):
+                h, first = shingles(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                parts.append(cells_of(h, first))
+                fps.append(simhash.majority(h, first))
+            flat = np.concatenate(parts).view(np.int64).ravel()
             cells = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, CELLS, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cells], names=["node", "doc_id", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), cells, pa.array(np.concatenate(fps).view(np.int64))], names=["node", "doc_id", "cells", "fp"])
 
     slim = docs.select(text_hash(text_col).alias("node"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(work, "node long, doc_id long, cells array<long>")
+    return slim.mapInArrow(work, "node long, doc_id long, cells array<long>, fp long")
 
 
 def shingle_sets(docs: DataFrame, candidates: DataFrame, text_col: str) -> DataFrame:
     """(node, root, hashes) of each different text among the candidates (node, root); hashes are sorted."""
-    blocks, out = max(1, -(-candidates.count() // CANDIDATES)), None
     slim = docs.select(text_hash(text_col).alias("node"), F.col(text_col).cast("string").alias("text"))
-    for block in range(blocks):
-        rows = candidates.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == block).select("node", "root").toArrow().sort_by("node")
+    sent = None
+    if candidates.count() <= CANDIDATES:  # their texts are picked out where they are read
+        rows = candidates.select("node", "root").toArrow().sort_by("node")
         sent = docs.sparkSession.sparkContext.broadcast((rows["node"].to_numpy(), rows["root"].to_numpy()))
+        slim = slim.select("node", F.lit(None).cast("long").alias("root"), "text")
+    else:
+        slim = slim.join(candidates, "node").select("node", "root", "text")
 
-        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            nodes, roots = sent.value
-            for b in batches:
-                own = b.column(0).to_numpy()
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(0).to_numpy()
+            there, roots = np.arange(len(own)), b.column(1)
+            if sent is not None:
+                nodes, of = sent.value
                 at = np.minimum(np.searchsorted(nodes, own), max(0, len(nodes) - 1))
                 there = np.flatnonzero(nodes[at] == own) if len(nodes) else np.zeros(0, np.int64)
-                raw, offsets = C.utf8(b.column(1).take(pa.array(there)))
-                for i, j in C.chunks(offsets):
-                    h, first = shingles(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    sets = [np.unique(h[a:z]).view(np.int64) for a, z in zip(first[:-1], first[1:], strict=True)]
-                    size = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                    hashes = pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-                    rows = there[i:j]
-                    yield pa.RecordBatch.from_arrays([pa.array(own[rows]), pa.array(roots[at[rows]]), hashes], names=["node", "root", "hashes"])
-
-        found = slim.mapInArrow(work, "node long, root long, hashes array<long>")
-        out = found if out is None else out.union(found)
-    return C.materialize(out.dropDuplicates(["node"]), "shingle-sets")
+                roots = pa.array(of[at]) if len(nodes) else roots
+            raw, offsets = C.utf8(b.column(2).take(pa.array(there)))
+            for i, j in C.chunks(offsets):
+                h, first = shingles(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                sets = [np.unique(h[a:z]).view(np.int64) for a, z in zip(first[:-1], first[1:], strict=True)]
+                size = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                hashes = pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+                rows = pa.array(there[i:j])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), roots.take(rows), hashes], names=["node", "root", "hashes"])
+
+    found = slim.mapInArrow(work, "node long, root long, hashes array<long>")
+    found = C.materialize(found.dropDuplicates(["node"]), "shingle-sets")
+    if sent is not None:
+        sent.destroy()
+    return found
 
 
 def block_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -168,23 +182,38 @@ def links(sets: DataFrame) -> DataFrame:
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def candidate_blocks(nodes: DataFrame) -> DataFrame:
+    """(node, root) of the texts (node, cells, fp) that share a cell or a fingerprint component with another, directly or by
+    others."""
+    total = CELLS * nodes.count()
+    cells = nodes.select("node", F.posexplode("cells").alias("i", "c")).select("node", F.xxhash64("i", "c").alias("cell"))
+    shared = cells.groupBy("cell").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most").select("cell", "least", "n")
+    near = C.join_counted(cells, C.materialize(shared, "shared-cells"), "cell", "n", total).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    linked = simhash.components(simhash.links(nodes.select("fp").distinct()))
+    rooted = nodes.select("node", "fp").join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("fp"))
+    rooted = C.materialize(rooted, "fingerprint-classes")
+    alike = C.materialize(rooted.groupBy("fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-fingerprints")
+    close = C.join_counted(rooted, alike, "fp", "n", total // CELLS).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    blocks = simhash.components(near.union(close).distinct())
+    return C.materialize(blocks.union(blocks.select(F.col("root").alias("node"), "root")).distinct(), "minhash-blocks")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, doc_id, n, component, first): the different pairs of text hash and id, the number of their rows, the smallest
     text hash of their component, and whether they are the component's first by id (nulls last) and text hash."""
     rows = C.materialize(signatures(docs, id_col, text_col), "minhash")
-    nodes = C.materialize(rows.dropDuplicates(["node"]).select("node", "cells"), "minhash-nodes")
-    cells = nodes.select("node", F.posexplode("cells").alias("i", "c")).select("node", F.xxhash64("i", "c").alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("cell", "least")
-    near = cells.join(shared, "cell").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
-    blocks = simhash.components(near)
-    blocks = C.materialize(blocks.union(blocks.select(F.col("root").alias("node"), "root")).distinct(), "minhash-blocks")
-    found = simhash.components(links(shingle_sets(docs, blocks, text_col)))
-    pairs = rows.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    pairs = C.materialize(pairs.join(found, "node", "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("component")), "minhash-pairs")
+    nodes = C.materialize(rows.dropDuplicates(["node"]).select("node", "cells", "fp"), "minhash-nodes")
+    found = simhash.components(links(shingle_sets(docs, candidate_blocks(nodes), text_col)))
+    pairs = C.materialize(rows.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("n")), "minhash-pairs")
+    C.discard(rows)
+    total = pairs.count()
+    many = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("ids"))
+    of = C.materialize(many.join(found, "node", "left").select("node", "ids", F.coalesce("root", "node").alias("component")), "minhash-components")
+    pairs = C.materialize(C.join_counted(pairs, of, "node", "ids", total).select("node", "doc_id", "n", "component"), "minhash-classes")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
-    best = pairs.groupBy("component").agg(F.min(order).alias("best"))
+    best = C.materialize(pairs.groupBy("component").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("ids")), "minhash-first")
     first = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.node") == F.col("node"))
-    return pairs.join(best, "component").select("node", "doc_id", "n", "component", first.alias("first"))
+    return C.join_counted(pairs, best, "component", "ids", total).select("node", "doc_id", "n", "component", first.alias("first"))
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,11 +2,16 @@
 
 Documents are tokenized (one end token each) and cut into pieces of at most `capacity` tokens. Full
 pieces are sequences by themselves. The others are dealt by a hash into problems of about ITEMS pieces,
-and each problem is evolved on several islands with different seeds. An individual is a list of bins.
-Crossover injects a choice of the well-filled bins of one parent whole into the other, removes the bins
-that now hold duplicates, and places the displaced pieces best-fit, longest first. After each epoch the
-elite of each island migrates to the next island of its problem. Badly filled bins of all problems are
-then dissolved and packed again together, round by round, until one problem is left.
+and each problem is evolved on several islands with different seeds. An individual is a list of bins; the first
+ones are best-fit packings of random orders. Crossover injects a choice of the well-filled bins of one parent whole
+into the other, removes the bins that now hold duplicates, exchanges displaced documents for shorter ones where
+that fills a bin better, and places the rest best-fit, longest first. After each epoch the elite of each
+island migrates to the next island of its problem; in the last epoch a best-fit decreasing packing comes in as one
+more migrant, so the result is never worse than that. Badly filled bins of all problems are then dissolved and packed
+again together, round by round, until one problem is left.
+
+The fitness is the number of bins, then how unevenly the room is spread; evolution ends early only when all bins
+but one are full, as nothing can be better. Each round logs its crossovers, bins and lower bound.
 
 Pieces are numbered when they are written to the shared folder, so repeated rows and null or repeated
 ids pack like any others. Null and empty texts are one piece of one token. Other columns are ignored.
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 import array
 import functools
+import logging
 import random
 import sys
 from collections.abc import Iterator
@@ -28,12 +34,18 @@ from pyspark.sql import functions as F
 
 from latticework.llm import common as C
 
-#: Pieces of one problem, islands of one problem, epochs between migrations, generations of an epoch.
-ITEMS, ISLANDS, EPOCHS, GENERATIONS = 4096, 2, 2, 6
+log = logging.getLogger(__name__)
+
+#: Pieces of one problem, islands of one problem, epochs (with a migration between them), individuals of an island.
+ITEMS, ISLANDS, EPOCHS, SIZE = 4096, 2, 3, 6
+#: Work of an island in an epoch: pieces that its crossovers may pass over. Small problems evolve for more generations.
+EFFORT = 30_000
+#: Displaced pieces and bins with room of which a crossover tries exchanges, at most.
+TRIED = 48
 #: Bins filled less than this share are dissolved and packed again with those of other problems.
 WELL_FILLED = 0.995
-#: Texts' chunks whose ids a worker remembers.
-REMEMBER = 1_200_000
+#: Bytes of texts' chunks and their ids that a worker remembers; longer chunks than LONGEST characters are not.
+REMEMBER, LONGEST = 200_000_000, 256
 #: ASCII signs but the apostrophe, which may start a piece with letters.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -82,7 +94,6 @@ class Tokens:
         self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
         fast = fast_encoder(path)
         self.fast = fast and fast.encode_ordinary
-        self.piece = fast and fast._core_bpe.encode_single_piece
         self.split = re.compile(r"(?<=\S) (?=\S)").split
         self.rare = re.compile(r"[^\S \n]").search
         self.plain = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
@@ -97,8 +108,8 @@ class Tokens:
         if self.fast and (x.isascii() or self.plain(x)) and not any(t in x for t in self.special):
             stem = x.rstrip(SIGNS)
             if stem.isalpha():
-                if stem is x or len(stem) == len(x):
-                    return array.array("I", self.piece((" " + x).encode())).tobytes()
+                if len(stem) == len(x):
+                    return array.array("I", self.fast(" " + x)).tobytes()
                 return self.known[stem] + array.array("I", self.fast(x[len(stem) :])).tobytes()
             return array.array("I", self.fast(" " + x)).tobytes()
         return array.array("I", self.encoder.encode(" " + x, add_special_tokens=False).ids).tobytes()
@@ -113,15 +124,19 @@ class Tokens:
 
 
 class Known(dict):
-    """Ids of chunks, found when first asked for; forgotten when there are too many."""
+    """Ids of chunks, found when first asked for; forgotten when they take REMEMBER bytes."""
 
     def __init__(self, find) -> None:
-        self.find = find
+        self.find, self.held = find, 0
 
     def __missing__(self, x: str) -> bytes:
-        if len(self) > REMEMBER:
-            self.clear()
-        self[x] = out = self.find(x)
+        out = self.find(x)
+        if len(x) <= LONGEST:
+            self.held += sys.getsizeof(x) + sys.getsizeof(out) + 100
+            if self.held > REMEMBER:
+                self.clear()
+                self.held = 0
+            self[x] = out
         return out
 
 
@@ -207,19 +222,45 @@ def fitness(p: Packing, capacity: int) -> tuple[int, float]:
     return -len(p[0]), sum((capacity - r) ** 2 for r in p[1])
 
 
+def exchange(displaced: list[int], lengths: list[int], bins: list[list[int]], room: list[int]) -> list[int]:
+    """What is displaced after pieces of bins with room have been exchanged for longer displaced ones that fill the bin
+    better; two pieces of a bin may go for one."""
+    open_ = sorted((k for k, r in enumerate(room) if r), key=room.__getitem__)[:TRIED]
+    out = displaced[TRIED:]
+    for x in displaced[:TRIED]:
+        n, best, found = lengths[x], 0, None
+        for k in open_:
+            r, own = room[k], bins[k]
+            for i, y in enumerate(own):
+                gain = n - lengths[y]
+                if best < gain <= r:
+                    best, found = gain, (k, (y,))
+                for z in own[:i]:
+                    if best < gain - lengths[z] <= r:
+                        best, found = gain - lengths[z], (k, (z, y))
+        if found is None:
+            out.append(x)
+            continue
+        k, gone = found
+        bins[k] = [y for y in bins[k] if y not in gone] + [x]
+        room[k] -= best
+        out += gone
+    return out
+
+
 def crossover(a: Packing, b: Packing, lengths: list[int], capacity: int, rng: random.Random) -> Packing:
-    """Inject whole well-filled bins of b into a; drop bins of a with duplicates; best-fit the displaced."""
-    limit = max(1, capacity // 256)
-    good = [k for k, r in enumerate(b[1]) if r <= limit]
-    share = rng.uniform(0.1, 0.6)
-    taken = [k for k in good if rng.random() < share]
+    """Inject whole well-filled bins of b into a; drop bins of a with duplicates; exchange and best-fit the displaced."""
+    least = max(1, capacity // 256)
+    limit, share = rng.choice((0, 0, least)), rng.uniform(0.1, 0.6)
+    taken = [k for k, r in enumerate(b[1]) if r <= limit and rng.random() < share]
     inside = bytearray(len(lengths))
     for k in taken:
         for x in b[0][k]:
             inside[x] = 1
     bins, room = [list(b[0][k]) for k in taken], [b[1][k] for k in taken]
     displaced: list[int] = []
-    worst = sorted(a[1], reverse=True)[min(len(a[1]) - 1, 4)] if a[1] else 0
+    worst = sorted(a[1], reverse=True)[min(len(a[1]) - 1, rng.randint(2, 5))] if a[1] else 0
+    worst = min(worst, rng.choice((1, least // 2 + 1, worst)))
     for items, r in zip(*a, strict=True):
         if r and r >= worst or any(inside[x] for x in items):  # the emptiest bins are opened too
             displaced += [x for x in items if not inside[x]]
@@ -227,36 +268,54 @@ def crossover(a: Packing, b: Packing, lengths: list[int], capacity: int, rng: ra
             bins.append(list(items))
             room.append(r)
     displaced.sort(key=lengths.__getitem__, reverse=True)
+    displaced = exchange(displaced, lengths, bins, room)
+    if rng.random() < 0.5:
+        displaced.sort(key=lengths.__getitem__, reverse=True)
+    else:
+        displaced.sort(key=lambda x: lengths[x] * rng.uniform(0.8, 1), reverse=True)
     best_fit(displaced, lengths, bins, room, capacity)
     return bins, room
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, start: list[Packing], generations: int = GENERATIONS, size: int = 4) -> Packing:
-    """The elite after some generations of a steady-state population."""
+def packed_by(order: list[int], lengths: list[int], capacity: int) -> Packing:
+    p: Packing = ([], [])
+    best_fit(order, lengths, *p, capacity)
+    return p
+
+
+def decreasing(lengths: list[int], capacity: int) -> Packing:
+    """Best-fit decreasing."""
+    return packed_by(sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True), lengths, capacity)
+
+
+def evolve(lengths: list[int], capacity: int, seed: int, start: list[Packing], effort: int = EFFORT, size: int = SIZE) -> tuple[Packing, int]:
+    """The elite of a steady-state population, and how many crossovers there were. A child that is as good as one that
+    is there takes the place of the worst only if it is better than that."""
     rng = random.Random(seed)
-    bound = -(-sum(lengths) // capacity)
+    score = lambda p: fitness(p, capacity)
     population = list(start)
-    order = sorted(range(len(lengths)), key=lengths.__getitem__, reverse=True)
-    while len(population) < size:
-        noise = 0 if not population else rng.uniform(0.02, 0.3)
-        items = sorted(order, key=lambda x: lengths[x] * (1 + noise * rng.random()), reverse=True) if noise else order
-        p: Packing = ([], [])
-        best_fit(items, lengths, *p, capacity)
-        population.append(p)
-        if len(p[0]) == bound:
-            return p
-    population.sort(key=lambda p: fitness(p, capacity), reverse=True)
-    for _ in range(generations):
-        if len(population[0][0]) == bound:
+    while len(population) < max(2, size):
+        population.append(packed_by(rng.sample(range(len(lengths)), len(lengths)), lengths, capacity))
+    population.sort(key=score, reverse=True)
+    scores = [score(p) for p in population]
+    done = 0
+    while done < max(2, effort // max(1, len(lengths))):
+        if sum(r > 0 for r in population[0][1]) <= 1:
             break
-        a, b = rng.sample(range(size), 2)
-        child = crossover(population[min(a, b)], population[max(a, b)], lengths, capacity, rng)
-        population[-1] = max(child, population[-1], key=lambda p: fitness(p, capacity))
-        population.sort(key=lambda p: fitness(p, capacity), reverse=True)
-    return population[0]
-
-
-def islands(items: DataFrame, n: int, capacity: int, tag: str) -> DataFrame:
+        done += 1
+        i, j = rng.sample(range(len(population)), 2)
+        child = crossover(population[i], population[j], lengths, capacity, rng)
+        s = score(child)
+        if s > scores[-1] and s not in scores:
+            at = next(k for k, other in enumerate(scores) if s > other)
+            population.insert(at, child)
+            scores.insert(at, s)
+            population.pop()
+            scores.pop()
+    return population[0], done
+
+
+def islands(items: DataFrame, n: int, capacity: int, tag: str, history: list[dict] | None = None) -> DataFrame:
     """(uid, length, seq, room): items (uid, length) packed within problems dealt by a hash."""
     problems = max(1, round(n / ITEMS))
     cell = F.pmod(F.xxhash64("uid", F.lit(tag)), F.lit(problems)).alias("problem")
@@ -269,15 +328,14 @@ def islands(items: DataFrame, n: int, capacity: int, tag: str) -> DataFrame:
             label[b] = k
         return lengths.astype(np.int16).tobytes(), label.tobytes()
 
-    def row(key: tuple, uids: np.ndarray, lengths: np.ndarray, elite: Packing) -> pd.DataFrame:
+    def row(key: tuple, uids: np.ndarray, lengths: np.ndarray, elite: Packing, crossovers: int) -> pd.DataFrame:
         packed = pack(lengths, elite[0])
-        return pd.DataFrame({"problem": [int(key[0])], "island": [int(key[1])], "uids": [uids.tobytes()], "lengths": [packed[0]], "bins": [packed[1]]})
+        return pd.DataFrame({"problem": [int(key[0])], "island": [int(key[1])], "uids": [uids.tobytes()], "lengths": [packed[0]], "bins": [packed[1]], "crossovers": [crossovers]})
 
     def begin(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("uid")
         lengths = pdf["length"].to_numpy()
-        elite = evolve(lengths.tolist(), capacity, 7919 * int(key[0]) + int(key[1]), [])
-        return row(key, pdf["uid"].to_numpy(), lengths, elite)
+        return row(key, pdf["uid"].to_numpy(), lengths, *evolve(lengths.tolist(), capacity, 7919 * int(key[0]) + int(key[1]), []))
 
     def unpack(label: bytes, lengths: np.ndarray) -> Packing:
         label = np.frombuffer(label, np.int32)
@@ -285,19 +343,24 @@ def islands(items: DataFrame, n: int, capacity: int, tag: str) -> DataFrame:
         bins = [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(label[order])) + 1)]
         return bins, [capacity - int(lengths[b].sum()) for b in bins]
 
-    def again(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lengths = np.frombuffer(pdf["lengths"].iloc[0], np.int16).astype(np.int64)
-        start = [unpack(x, lengths) for x in pdf["bins"]]
-        elite = evolve(lengths.tolist(), capacity, 104729 * int(key[0]) + int(key[1]) + len(pdf), start)
-        return row(key, np.frombuffer(pdf["uids"].iloc[0], np.int64), lengths, elite)
-
-    schema = "problem long, island int, uids binary, lengths binary, bins binary"
-    state = first.groupBy("problem", "island").applyInPandas(begin, schema)
-    for _ in range(EPOCHS - 1):
-        state = C.materialize(state, "islands")
+    def again(epoch: int):
+        def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            lengths = np.frombuffer(pdf["lengths"].iloc[0], np.int16).astype(np.int64)
+            start = [unpack(x, lengths) for x in pdf["bins"]]
+            if epoch == EPOCHS - 1:
+                start.append(decreasing(lengths.tolist(), capacity))
+            elite, crossovers = evolve(lengths.tolist(), capacity, 104729 * int(key[0]) + int(key[1]) + 15485863 * epoch, start)
+            return row(key, np.frombuffer(pdf["uids"].iloc[0], np.int64), lengths, elite, crossovers + int(pdf["crossovers"].max()))
+
+        return work
+
+    schema = "problem long, island int, uids binary, lengths binary, bins binary, crossovers long"
+    state = C.materialize(first.groupBy("problem", "island").applyInPandas(begin, schema), "islands")
+    for epoch in range(1, EPOCHS):
         to = F.explode(F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int"))).alias("to")
-        moved = state.select("problem", to, "uids", "lengths", "bins").withColumnRenamed("to", "island")
-        state = moved.groupBy("problem", "island").applyInPandas(again, schema)
+        moved = state.select("problem", to, "uids", "lengths", "bins", "crossovers").withColumnRenamed("to", "island")
+        state, old = C.materialize(moved.groupBy("problem", "island").applyInPandas(again(epoch), schema), "islands"), state
+        C.discard(old)
 
     def best(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         uids = np.frombuffer(pdf["uids"].iloc[0], np.int64)
@@ -308,11 +371,19 @@ def islands(items: DataFrame, n: int, capacity: int, tag: str) -> DataFrame:
         offset = np.concatenate([np.cumsum(lengths[b]) - lengths[b] for b in bins])
         return pd.DataFrame({"uid": uids[where], "length": lengths[where], "sequence_id": np.repeat([uids[b[0]] for b in bins], many), "offset": offset, "room": np.repeat(room, many)})
 
-    return C.materialize(C.materialize(state, "islands").groupBy("problem").applyInPandas(best, "uid long, length long, sequence_id long, offset long, room long"), "packed")
+    packed = C.materialize(state.groupBy("problem").applyInPandas(best, "uid long, length long, sequence_id long, offset long, room long"), "packed")
+    total, bins = packed.agg(F.sum("length"), F.count_if(F.col("offset") == 0)).first()
+    figures = {"round": tag, "problems": problems, "pieces": n, "crossovers": state.agg(F.sum("crossovers")).first()[0], "bins": bins, "bound": -(-total // capacity)}
+    log.info("packing %s", figures)
+    if history is not None:
+        history.append(figures)
+    C.discard(state)
+    return packed
 
 
-def plan(parts: DataFrame, capacity: int = 2048) -> DataFrame:
-    """(uid, sequence_id, offset) of pieces (uid, length). A sequence is named by its first piece."""
+def plan(parts: DataFrame, capacity: int = 2048, history: list[dict] | None = None) -> DataFrame:
+    """(uid, sequence_id, offset) of pieces (uid, length). A sequence is named by its first piece. The figures of each
+    round are added to history."""
     if capacity >= 1 << 15:
         raise ValueError("capacity must be under 32768")
     lengths = parts.select("uid", "length")
@@ -320,7 +391,7 @@ def plan(parts: DataFrame, capacity: int = 2048) -> DataFrame:
     open_, round_ = lengths.where(F.col("length") < capacity), 0
     n = open_.count()
     while n:
-        packed = islands(open_, n, capacity, f"round {round_}")
+        packed = islands(open_, n, capacity, f"round {round_}", history)
         loose = packed.where(F.col("room") > (1 - WELL_FILLED) * capacity)
         left = loose.count() if n > 1.5 * ITEMS else 0
         if left == n:

@@ -2,16 +2,17 @@
 
 The model is an interpolated modified Kneser-Ney model over UTF-8 bytes (digits count as one symbol),
 one for each language. Its n-gram counts, continuation counts, discounts and probabilities are Spark
-aggregates and joins over all documents. For scoring it is laid out as sorted arrays of 64-bit hashes
-with log-probabilities and back-off weights beside them. A block of at most ENTRIES entries is broadcast
+aggregates and joins over all reference texts: those that pass the base rules and have few symbols and few repeated
+words, so that junk is odd to the model however much of it there is. For scoring it is laid out as sorted arrays of
+64-bit hashes with log-probabilities and back-off weights beside them. A block of at most ENTRIES entries is broadcast
 at a time; a larger model is cut by the two bytes before the predicted one, so that each block holds all
 that its predictions need, and the partial sums of the blocks add up to the same scores.
 
-A text is judged by the log-perplexities of equal parts of it, of about PART bytes each, so that a clean text is
-not rejected for a passage in another language. It is rejected if even its lower quartile lies above its
-language's upper band, or even its upper quartile below the lower band: the medians of those quartiles over the
-documents that pass the base rules, plus UPPER or less LOWER robust deviations of them. A language of fewer than
-FEW such documents has no bands.
+Every text is scored, whole and by equal parts of about PART bytes. It is rejected by the upper band of its language
+if the median of its parts lies above it, so a clean text is not rejected for a passage in another language, and by
+the lower band if its whole log-perplexity lies below it. The bands are the medians of these two figures over the
+documents that pass the base rules, plus UPPER or less LOWER robust deviations of them. A language of fewer than FEW such
+documents has no bands.
 
 Nulls: a null text has no words and perplexity null; a null language is a group of its own. Null and
 repeated ids stay as they are. Other columns are ignored.
@@ -30,8 +31,10 @@ from latticework.llm import common as C
 
 ORDER = 5
 ENTRIES = 4_000_000
-LOWER, UPPER, FEW = 12.0, 4.0, 20
+LOWER, UPPER, FEW = 8.0, 8.0, 20
 PART = 128
+#: What makes a text one that the model is counted on, in hundredths.
+SYMBOLS, REPEATS = 1, 30
 
 #: Digits become one symbol; zero bytes are left to the padding before a text.
 FOLD = np.arange(256, dtype=np.uint64)
@@ -60,18 +63,32 @@ def batch_grams(raw: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
+def reference(counts: list[np.ndarray]) -> np.ndarray:
+    """Whether a text with these base_counts is one that the model is counted on: it passes the base rules, at most
+    SYMBOLS of a hundred characters of its words are symbols, and at most REPEATS of a hundred words are repeated."""
+    words, chars, symbols, _, repeat = counts
+    return (words >= 50) & (100 * symbols <= SYMBOLS * chars) & (100 * repeat <= REPEATS * words)
+
+
 def count(docs: DataFrame, order: int = ORDER, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, k, c): how often each n-gram of the highest order occurs."""
+    """(lang, k, c): how often each n-gram of the highest order occurs in the texts that pass the base rules."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs = b.column(0).dictionary_encode()
             names, code = langs.dictionary.to_pylist(), langs.indices.to_numpy().astype(np.uint64)
             raw, offsets = C.utf8(b.column(1))
-            for i, j in C.chunks(offsets, 12 << 20):
-                own = offsets[i : j + 1] - offsets[i]
-                keys = batch_grams(raw[offsets[i] : offsets[j]], own, order)
-                keys |= np.repeat(code[i:j], np.diff(own)) << np.uint64(40)
+            for lo, hi in C.chunks(offsets, 12 << 20):
+                found = []
+                for i, j in C.chunks(offsets[lo : hi + 1]):
+                    i, j = i + lo, j + lo
+                    own, part = offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]]
+                    use = reference(base_counts(part, own))
+                    keys = batch_grams(part, own, order)
+                    keys |= np.repeat(code[i:j], np.diff(own)) << np.uint64(40)
+                    found.append(keys[np.repeat(use, np.diff(own))])
+                keys = np.concatenate(found)
+                del found
                 keys.sort()
                 edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
                 c = np.diff(np.append(edge, len(keys)))
@@ -95,7 +112,8 @@ def estimate(counts: DataFrame, order: int = ORDER) -> DataFrame:
         t = tables[n]
         of = lambda i: F.sum((F.col("c") == i).cast("long")).cast("double")
         d = t.groupBy("lang").agg(*[of(i).alias(f"n{i}") for i in (1, 2, 3, 4)]).withColumn("y", F.expr("n1 / nullif(n1 + 2 * n2, 0)"))
-        disc = [F.coalesce(F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), F.expr(f"{i} - {i + 1} * y * n{i + 1} / nullif(n{i}, 0)"))), F.lit(i / 2)).alias(f"d{i}") for i in (1, 2, 3)]
+        exact = [F.expr(f"{i} - {i + 1} * y * n{i + 1} / nullif(n{i}, 0)") for i in (1, 2, 3)]  # null where no count can tell
+        disc = [F.when(x.isNull(), i / 2).otherwise(F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), x))).alias(f"d{i}") for i, x in enumerate(exact, 1)]
         t = t.join(C.small(C.materialize(d.select("lang", *disc), "discounts")), "lang").withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         t = t.select("lang", "k", F.shiftright("k", 8).alias("ctx"), "c", "d")
         ctx = t.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("g"))
@@ -111,27 +129,26 @@ def estimate(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return C.materialize(out, "model")
 
 
-def block_of(n: int, kind: str, k: np.ndarray, blocks: int) -> np.ndarray:
-    """The block of a prediction: by the two bytes before the predicted one."""
-    pair = (k >> np.uint64(8)) & np.uint64(0xFFFF) if kind == "p" else k & np.uint64(0xFFFF)
+def block_of(pair: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of a prediction, by the two bytes before the predicted one."""
     return (C.mix(pair + np.uint64(1)) >> np.uint64(20)) % np.uint64(blocks)
 
 
 class Arrays:
     """A block of the model: for each language, order and kind, sorted hashes and the values beside them."""
 
-    def __init__(self, table: pa.Table, order: int) -> None:
+    def __init__(self, table: pa.Table, langs: list[str], order: int) -> None:
+        """From rows (part, k, v); a part is the number of the language, times 64, plus twice n, plus 1 for back-off weights."""
         self.order, self.parts = order, {}
-        lang, n, kind = (table[c].combine_chunks() for c in ("lang", "n", "kind"))
-        codes = lang.dictionary_encode()
-        names = codes.dictionary.to_pylist()
-        key = codes.indices.to_numpy().astype(np.int64) * 64 + n.to_numpy() * 2 + (np.asarray(kind.to_pylist(), object) == "b")
-        k, v = table["k"].to_numpy().view(np.uint64), table["v"].to_numpy().astype(np.float32)
-        for x in np.unique(key).tolist():
-            mine = key == x
+        key, k, v = (table[c].to_numpy() for c in ("part", "k", "v"))
+        k = k.view(np.uint64)
+        by = np.argsort(key, kind="stable")
+        edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(by)), bool), np.diff(key[by]) != 0)))
+        for mine in np.split(by, edge[1:]) if len(by) else []:
+            x = int(key[mine[0]])
             h = C.mix(k[mine])
             at = np.argsort(h)
-            self.parts[names[x // 64], x % 64 // 2, "b" if x % 2 else "p"] = h[at], v[mine][at]
+            self.parts[langs[x // 64], x % 64 // 2, "b" if x % 2 else "p"] = h[at], v[mine][at]
 
     def find(self, lang: str, n: int, kind: str, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values, and which of the n-grams are there."""
@@ -193,11 +210,29 @@ def base_counts(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def model_block(model: DataFrame, langs: list[str], order: int, block: int, blocks: int) -> Arrays:
+    """The part of the model that the predictions of a block need."""
+    code = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)]) if langs else F.create_map().cast("map<string,int>")
+    part = (F.try_element_at(code, "lang") * 64 + F.col("n") * 2 + (F.col("kind") == "b").cast("int")).cast("int").alias("part")
+    rows = model.select(part, "k", F.col("v").cast("float").alias("v"), F.when(F.col("kind") == "p", F.shiftright("k", 8)).otherwise(F.col("k")).bitwiseAND(F.lit(0xFFFF)).alias("pair"), (F.col("n") < 3).alias("coarse"))
+    if blocks > 1:
+
+        def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = block_of(b.column(3).to_numpy().view(np.uint64), blocks) == block
+                yield b.filter(pa.array(own | np.asarray(b.column(4)))).select([0, 1, 2])
+
+        rows = rows.mapInArrow(mine, "part int, k long, v float")
+    return Arrays(rows.select("part", "k", "v").toArrow(), langs, order)
+
+
 def score(docs: DataFrame, model: DataFrame, order: int = ORDER, entries: int = ENTRIES, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(doc_id, lang, base counts, nll, n_bytes, parts): nll is the negative log-likelihood of the text, parts
-    has the mean one of a byte in each part of the text."""
+    has the mean one of a byte in each part of the text. Each block of the model is sent, used and taken back before the next."""
+    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     blocks = max(1, -(-model.count() // entries))
+    langs = sorted(r["lang"] for r in model.select("lang").distinct().collect())
     slim = slim.withColumn("uid", F.monotonically_increasing_id())
     if blocks > 1:
         slim = C.materialize(slim, "numbered")
@@ -205,19 +240,7 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, entries: int =
     names = [x.split()[0] for x in schema.split(", ")]
     found = None
     for block in range(blocks):
-        part = model
-        if blocks > 1:
-            pair = F.when(F.col("kind") == "p", F.shiftright("k", 8)).otherwise(F.col("k")).bitwiseAND(F.lit(0xFFFF))
-            fine = (F.col("n") >= 3)
-
-            def mine(kinds: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-                for b in kinds:
-                    pairs = b.column(5).to_numpy().astype(np.uint64)
-                    keep = (C.mix(pairs + np.uint64(1)) >> np.uint64(20)) % np.uint64(blocks) == block
-                    yield b.filter(pa.array(keep | ~np.asarray(b.column(6)))).select([0, 1, 2, 3, 4])
-
-            part = model.select("lang", "n", "kind", "k", "v", pair.alias("pair"), fine.alias("fine")).mapInArrow(mine, "lang string, n int, kind string, k long, v double")
-        sent = docs.sparkSession.sparkContext.broadcast(Arrays(part.toArrow(), order))
+        sent = spark.sparkContext.broadcast(model_block(model, langs, order, block, blocks))
 
         def work(batches: Iterator[pa.RecordBatch], block=block, sent=sent) -> Iterator[pa.RecordBatch]:
             arrays = sent.value
@@ -234,44 +257,46 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, entries: int =
                     edge = np.concatenate(([0], np.cumsum(many)))
                     inside = (np.arange(len(k)) - own[code]) * many[code] // size[code] + edge[code]
                     sums = np.zeros(edge[-1])
-                    use = np.ones(len(k), bool) if blocks == 1 else block_of(order, "p", k, blocks) == block
+                    use = np.ones(len(k), bool) if blocks == 1 else block_of((k >> np.uint64(8)) & np.uint64(0xFFFF), blocks) == block
                     for lang in set(langs[i:j].tolist()):
                         at = np.flatnonzero(use & (langs[i:j] == lang)[code])
                         if len(at):
                             sums -= np.bincount(inside[at], arrays.logp(lang, k[at]), len(sums))
-                    nll = np.bincount(np.repeat(np.arange(j - i), many), sums, j - i)
+                    nll = np.bincount(np.repeat(np.arange(j - i), many), sums, j - i).astype(float)  # of no parts it is whole numbers
                     parts = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array((sums / np.maximum(1, np.bincount(inside, minlength=len(sums)))).astype(np.float32)))
                     counts = base_counts(part, own) if block == 0 else [np.zeros(j - i, np.int64)] * 5
                     rows = [b.column(3)[i:j], b.column(0)[i:j], b.column(1)[i:j], *(pa.array(c.astype(np.int64)) for c in counts), pa.array(nll), pa.array(size), parts]
                     yield pa.RecordBatch.from_arrays(rows, names=names)
 
-        one = slim.select("doc_id", "lang", "text", "uid").mapInArrow(work, schema)
+        one = C.materialize(slim.select("doc_id", "lang", "text", "uid").mapInArrow(work, schema), "perplexity")
+        sent.destroy()
         found = one if found is None else found.union(one)
     if blocks > 1:
         first = [F.first(c).alias(c) for c in ("doc_id", "lang", "n_bytes")]
         found = found.groupBy("uid").agg(*first, *[F.sum(c).alias(c) for c in (*BASE, "nll")], F.collect_list("parts").alias("p"))
         added = F.aggregate(F.slice("p", 2, blocks), F.get("p", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda u, v: u + v))  # a list of each block
-        found = found.withColumn("parts", added)
-    return C.materialize(found.select("doc_id", "lang", *BASE, "nll", "n_bytes", "parts"), "perplexity")
+        found = C.materialize(found.withColumn("parts", added), "perplexity")
+    return found.select("doc_id", "lang", *BASE, "nll", "n_bytes", "parts")
 
 
 def judge(scored: DataFrame, lower: float = LOWER, upper: float = UPPER, few: int = FEW) -> DataFrame:
-    """Adds base_failed, log_ppl (of the whole text), the quartiles q1 and q3 of its parts, the bands and kept."""
-    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    x = scored.withColumn("base_failed", failed).withColumn("log_ppl", F.expr("nll / nullif(n_bytes, 0)")).withColumn("parts", F.array_sort("parts"))
+    """Adds base_failed, log_ppl (of the whole text), the quartiles q1, mid and q3 of its parts, the bands low and high, kept, and
+    the band that rejects it ('low', 'high' or null)."""
+    fails = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+    x = scored.withColumn("base_failed", fails).withColumn("log_ppl", F.expr("nll / nullif(n_bytes, 0)")).withColumn("parts", F.array_sort("parts"))
     quartile = lambda k: F.get("parts", F.expr(f"cast((size(parts) - 1) * {k} div 4 as int)")).cast("double")
-    x = x.withColumn("q1", quartile(1)).withColumn("q3", quartile(3)).drop("parts")
-    good = x.where("not base_failed and q1 is not null").select("lang", "q1", "q3")
+    x = C.materialize(x.withColumn("q1", quartile(1)).withColumn("mid", quartile(2)).withColumn("q3", quartile(3)).drop("parts"), "quartiles")
+    good = x.where("not base_failed and mid is not null").select("lang", "log_ppl", "mid")
     median = lambda c, name: F.percentile_approx(c, 0.5, 10_000).alias(name)
-    middle = good.groupBy("lang").agg(median("q1", "m1"), median("q3", "m3"), F.count(F.lit(1)).alias("n"))
-    apart = good.join(C.small(C.materialize(middle.where(F.col("n") >= few), "middle")), "lang")
-    apart = apart.groupBy("lang").agg(F.first("m1").alias("m1"), F.first("m3").alias("m3"), median(F.abs(F.col("q1") - F.col("m1")), "s1"), median(F.abs(F.col("q3") - F.col("m3")), "s3"))
-    bands = apart.select("lang", (F.col("m3") - lower * 1.4826 * F.col("s3")).alias("low"), (F.col("m1") + upper * 1.4826 * F.col("s1")).alias("high"))
+    middle = good.groupBy("lang").agg(median("log_ppl", "m"), median("mid", "n"), F.count(F.lit(1)).alias("texts"))
+    apart = good.join(C.small(C.materialize(middle.where(F.col("texts") >= few), "middle")), "lang")
+    apart = apart.groupBy("lang").agg(F.first("m").alias("m"), F.first("n").alias("n"), median(F.abs(F.col("log_ppl") - F.col("m")), "s"), median(F.abs(F.col("mid") - F.col("n")), "t"))
+    bands = apart.select("lang", (F.col("m") - lower * 1.4826 * F.col("s")).alias("low"), (F.col("n") + upper * 1.4826 * F.col("t")).alias("high"))
     x = x.join(C.small(C.materialize(bands, "bands")), "lang", "left")
-    outside = F.coalesce((F.col("q3") < F.col("low")) | (F.col("q1") > F.col("high")), F.lit(False))
-    return x.withColumn("kept", ~F.col("base_failed") & ~outside)
+    band = F.when(F.col("base_failed"), None).when(F.col("mid") > F.col("high"), "high").when(F.col("log_ppl") < F.col("low"), "low")
+    return x.withColumn("band", band).withColumn("kept", ~F.col("base_failed") & F.col("band").isNull())
 
 
 def quality_rules(docs: DataFrame, order: int = ORDER, **options) -> DataFrame:
-    """(doc_id, lang, base counts, base_failed, log_ppl, q1, q3, low, high, kept) of every document."""
+    """(doc_id, lang, base counts, base_failed, log_ppl, q1, mid, q3, low, high, band, kept) of every document."""
     return judge(score(docs, estimate(count(docs, order), order), order, **options))

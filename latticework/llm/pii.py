@@ -17,10 +17,11 @@ one class of characters are handled in linear time. Other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import ipaddress
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,18 +88,30 @@ def base_spans(text: str) -> list[Span]:
 
 HIDDEN_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}|@| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.| dot ) ?[A-Za-z0-9-]{2,24}){1,4}")
 HIDES = re.compile(r"[(\[{]at[)\]}]|[(\[{]dot[)\]}]| dot ")
-IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
+#: Full addresses, and runs with "::" for one or more groups of zeros; the latter must also parse.
+IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){0,7}(?::[0-9A-Fa-f]{1,4}){1,7}(?![0-9A-Za-z:])|(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){1,7}:(?![0-9A-Za-z:])")
 NUMBER = re.compile(r"(?<![0-9.,$€£#/-])\(?[0-9](?:[ ()./-]{0,2}[0-9]){6,18}(?![0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 
 
+def ipv6(s: str) -> bool:
+    """Whether a run of groups is an address: eight of them, or fewer with one "::"."""
+    if "::" not in s:
+        return True  # whether a shorter run is one is for the trees to say
+    try:
+        ipaddress.IPv6Address(s)
+    except ValueError:
+        return False
+    return True
+
+
 def candidates(text: str) -> list[Span]:
     """Spans that may be personal data; they may overlap."""
     out = [("email", *m.span()) for m in HIDDEN_EMAIL.finditer(text)] if HIDES.search(text) else []
     if DIGIT.search(text):
         if ":" in text:
-            out += [("ip", *m.span()) for m in IPV6.finditer(text)]
+            out += [("ip", *m.span()) for m in IPV6.finditer(text) if ipv6(m.group())]
         out += [("phone", *m.span()) for m in NUMBER.finditer(text)]
         out += [("ssn", *m.span()) for m in SSN.finditer(text)]
         out += [("iban", *m.span()) for m in IBAN.finditer(text)]
@@ -127,7 +140,7 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
         mod97 = float(int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1)
     return [
         float(KINDS.index(kind)), len(s), len(digits), len(digits) / len(s), len(groups), len(groups[0]), len(groups[-1]),
-        s.count("-"), s.count(" "), s.count("."), s.count("/"), s.count("("), float(bool(re.search(r"[(\[{](at|dot)[)\]}]", s))), float(" dot " in s),
+        s.count("-"), s.count(" "), s.count("."), s.count("/"), s.count("("), s.count(":"), float("::" in s), float(bool(re.search(r"[(\[{](at|dot)[)\]}]", s))), float(" dot " in s),
         mod97, float(luhn("".join(digits))) if digits else 0.0, float(digits[0] == "0") if digits else 0.0, len(set(digits)),
         *(float(bool(around & set(words))) for words in CONTEXT.values()),
         float(a == 0 or text[a - 1] in " \n\t(:"), float(b == len(text) or text[b] in " \n\t).,;"),
@@ -177,6 +190,7 @@ def example(rng: random.Random) -> tuple[str, int, int, bool]:
     """A made-up text, the place of a value in it, and whether the value is personal data."""
     n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("abcdefghilmnoprstuvz") for _ in range(rng.randint(2, 8)))
+    hexed = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 4)))
     own, kind = rng.random() < 0.5, rng.choice(("phone", "email", "ip", "ssn", "iban"))
     if own:
         lead = rng.choice((*CONTEXT[kind], *CONTEXT[kind], word()))
@@ -186,7 +200,9 @@ def example(rng: random.Random) -> tuple[str, int, int, bool]:
             at, dot = rng.choice((("(at)", "(dot)"), ("[at]", "[dot]"), (" at ", " dot "), ("(at)", "."), (" [at] ", " [dot] "), ("{at}", "{dot}")))
             value = f"{word()}.{word()}{at}{word()}{dot}{rng.choice(('com', 'org', 'net', 'de', 'fr', 'es'))}"
         elif kind == "ip":
-            value = ":".join(f"{rng.getrandbits(16):x}" for _ in range(8))
+            groups = [f"{rng.getrandbits(16):x}" for _ in range(8)]
+            cut = rng.randint(1, 5)  # groups before "::"
+            value = rng.choice((":".join(groups), f"{':'.join(groups[:cut])}::{':'.join(groups[: rng.randint(0, 6 - cut)])}", f"fe80::{':'.join(groups[:4])}"))
         elif kind == "ssn":
             value = f"{n(3)}-{n(2)}-{n(4)}"
         else:
@@ -200,7 +216,7 @@ def example(rng: random.Random) -> tuple[str, int, int, bool]:
         value = rng.choice((
             f"{rng.randint(1900, 2030)}-{n(2)}-{n(2)} {n(2)}", f"{n(2)}.{n(2)}.{rng.randint(1900, 2030)}", n(rng.randint(7, 19)), n(16), n(16), f"{n(4)} {n(4)}",
             f"{rng.randint(1900, 2030)} {rng.randint(1900, 2030)}", f"{n(1)}.{n(1)}.{n(2)}.{n(3)}.{n(2)}", f"97{n(1)}-{n(1)}-{n(4)}-{n(4)}-{n(1)}", f"{n(1)}-{n(1)} {n(1)}-{n(1)} {n(1)}-{n(1)} {n(1)}-{n(1)}",
-            f"{word()} at {word()}. {word()}", f"{word()} dot {word()} at {word()} dot {word()}", f"{n(2)}:{n(2)}:{n(2)}:{n(2)}", f"{rng.choice(('AB', 'XY', 'KL'))}{n(2)} {n(4)} {n(4)} {n(4)}", f"{n(3)} {n(2)} {n(4)}",
+            f"{word()} at {word()}. {word()}", f"{word()} dot {word()} at {word()} dot {word()}", f"{n(2)}:{n(2)}:{n(2)}:{n(2)}", f"{n(1)}::{n(1)}", f"::{word()[:1]}{n(1)}", f"{hexed()}::{hexed()}", f"{hexed()}::{hexed()}", f"{n(2)}::{n(2)}:{n(2)}", f"{rng.choice(('AB', 'XY', 'KL'))}{n(2)} {n(4)} {n(4)} {n(4)}", f"{n(3)} {n(2)} {n(4)}",
         ))
     before = " ".join(word() for _ in range(rng.randint(0, 5)))
     before = f"{before} {lead}{rng.choice((' ', ': ', ' is '))}"
@@ -218,23 +234,42 @@ class Model:
         found = candidates(text)
         if not found:
             return []
-        taken = sorted((a, b) for _, a, b in base)
-        free = [c for c in found if clear(taken, c[1], c[2])]
+        taken = Taken((a, b) for _, a, b in base)
+        free = [c for c in found if taken.clear(c[1], c[2])]
         if not free:
             return []
         scores = self.trees.scores(np.array([features(text, *c) for c in free]))
         out = []
         for s, c in sorted(zip(scores.tolist(), free, strict=True), key=lambda x: (-x[0], x[1][1], x[1][0])):
-            if s >= self.thresholds[c[0]] and clear(taken, c[1], c[2]):
-                bisect.insort(taken, (c[1], c[2]))
+            if s >= self.thresholds[c[0]] and taken.clear(c[1], c[2]):
+                taken.add(c[1], c[2])
                 out.append(c)
         return out
 
 
-def clear(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    """Whether [a, b) meets none of the sorted spans; those of different base kinds may overlap each other."""
-    k = bisect.bisect_left(taken, (b, -1))
-    return all(e <= a for _, e in taken[max(0, k - 4) : k])
+class Taken:
+    """What is covered by spans, as disjoint intervals in order; spans of different base kinds may overlap."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def clear(self, a: int, b: int) -> bool:
+        """Whether [a, b) meets none of them."""
+        k = bisect.bisect_left(self.starts, b)
+        return k == 0 or self.ends[k - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        """Takes a span that is clear."""
+        k = bisect.bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
 
 
 def fit(examples: int = EXAMPLES, seed: int = 11, precision: float = PRECISION) -> Model:

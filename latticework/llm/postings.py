@@ -5,8 +5,9 @@ of their words and for each word the ascending positions at which it stands, so
 phrase by itself and postings are never shuffled; a word that is everywhere is split over the shards.
 A phrase is matched in a shard from its rarest word: its positions, moved by their offset in the phrase,
 are intersected with the lists of the other words, rarest first; a phrase with an absent word costs one
-look-up. Proximity matches (all words within a span, in any order) use the same lists. Test windows are
-sent to the shards in blocks of at most WINDOWS, so what is broadcast has a fixed bound.
+look-up. Proximity matches (all words within a span, in any order) use the same lists. The different windows are
+numbered and sent to the shards in blocks of at most WINDOWS, so what is broadcast has a fixed bound; the items that
+have a window, which may be very many, are joined to the numbers of the windows that were found.
 
 Words are compared by 64-bit hashes and each exact phrase match by those of all its words. Nulls: a null
 text has no words; a null doc_id keeps its row; items with a null item_id are matched but not listed.
@@ -27,7 +28,7 @@ from latticework.llm import common as C
 
 #: Bytes of text of one shard.
 SHARD_BYTES = 4 << 20
-#: Windows of one broadcast block (each at most `width` 8-byte hashes), and characters of item ids.
+#: Windows of one broadcast block, each a number and at most `width` 8-byte hashes.
 WINDOWS = 100_000
 
 #: Bytes that separate words: ASCII but for digits and letters.
@@ -131,24 +132,33 @@ class Shard:
         return found
 
 
+#: Sorted intervals v of words, those that overlap or touch made one.
+MERGED = """aggregate(v, cast(array() as array<array<bigint>>), (a, x) -> if(size(a) = 0 or x[0] > a[size(a) - 1][1], concat(a, array(x)),
+    concat(slice(a, 1, size(a) - 1), array(array(a[size(a) - 1][0], greatest(a[size(a) - 1][1], x[1]))))))"""
+
+
 def search(index: DataFrame, wanted: DataFrame, span: int | None = None) -> DataFrame:
     """(shard, row, doc_id, n_words, intervals, items): for every indexed document the merged intervals of
     words inside occurrences of the windows (item_id, window), and the items that occur. With a span,
     proximity matches instead of phrases: the rarest word of each window is the interval."""
-    wanted = C.materialize(wanted.groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items")), "test-windows")
-    blocks = max(1, -(-wanted.count() // WINDOWS))
-    schema = "shard long, row int, doc_id long, n_words long, intervals array<array<long>>, items array<string>"
+    spark = index.sparkSession
+    wanted = C.materialize(wanted.select("window", "item_id"), "test-windows")
+    numbered = C.materialize(wanted.select("window").distinct().withColumn("number", F.monotonically_increasing_id()), "numbered-windows")
+    blocks = max(1, -(-numbered.count() // WINDOWS))
+    schema = "shard long, row int, doc_id long, n_words long, intervals array<array<long>>, windows array<long>"
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64())]
     out = None
     for block in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).collect()
-        sent = index.sparkSession.sparkContext.broadcast([(bytes(r["window"]), r["items"]) for r in rows])
+        rows = numbered.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).toArrow()
+        held = rows["window"].to_pylist()
+        size = np.array([len(w) // 8 for w in held], np.int64)
+        every = np.frombuffer(b"".join(held), np.uint64)
+        sent = spark.sparkContext.broadcast((rows["number"].to_numpy(), every, size))
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            phrases = [(np.frombuffer(w, np.uint64), items) for w, items in sent.value]
-            every = np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in phrases)])
-            edge = np.concatenate(([0], np.cumsum([len(w) for w, _ in phrases], dtype=np.int64))) if phrases else np.zeros(1, np.int64)
+            numbers, every, size = sent.value
+            edge = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
             for b in batches:
                 for r in range(b.num_rows):
                     row = b.slice(r, 1).to_pylist()[0]
@@ -156,37 +166,39 @@ def search(index: DataFrame, wanted: DataFrame, span: int | None = None) -> Data
                     lo, hi = s.lists(every)
                     least = np.minimum.reduceat(hi - lo, edge[:-1]) if len(every) else np.zeros(0)
                     hit: list[tuple[np.ndarray, int]] = []
-                    items: dict[int, set[str]] = {}
+                    windows: dict[int, list[int]] = {}
                     for k in np.flatnonzero(least > 0):
                         a, z = int(edge[k]), int(edge[k + 1])
                         found = s.phrase(lo[a:z], hi[a:z]) if span is None else s.near(lo[a:z], hi[a:z], span)
                         if len(found):
                             hit.append((found, z - a if span is None else 1))
                             for d in np.unique(np.searchsorted(s.first, found, "right") - 1).tolist():
-                                items.setdefault(d, set()).update(phrases[k][1])
+                                windows.setdefault(d, []).append(int(numbers[k]))
                     inside = np.zeros(s.first[-1] + 1, np.int32)
                     for found, width in hit:
                         np.add.at(inside, found, 1)
                         np.add.at(inside, found + width, -1)
                     covered = np.concatenate(([0], (np.cumsum(inside[:-1]) > 0).astype(np.int8), [0]))
                     spans: dict[int, list[list[int]]] = {}
-                    for d in items:
+                    for d in windows:
                         a, z = s.first[d], s.first[d + 1]
                         own = np.concatenate(([0], covered[a + 1 : z + 1], [0]))
                         turn = np.flatnonzero(np.diff(own))
                         spans[d] = turn.reshape(-1, 2).tolist()
                     n = len(s.ids)
-                    columns = ([row["shard"]] * n, range(n), pa.array(s.ids, mask=s.nulls), np.diff(s.first), [spans.get(d, []) for d in range(n)], [sorted(items.get(d, ())) for d in range(n)])
+                    columns = ([row["shard"]] * n, range(n), pa.array(s.ids, mask=s.nulls), np.diff(s.first), [spans.get(d, []) for d in range(n)], [windows.get(d, []) for d in range(n)])
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
-        found = index.mapInArrow(work, schema)
+        found = C.materialize(index.mapInArrow(work, schema), "found-windows")
+        sent.destroy()
         out = found if out is None else out.union(found)
     if blocks > 1:
-        flat = out.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("intervals"))).alias("v"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        join = """aggregate(v, cast(array() as array<array<bigint>>), (a, x) -> if(size(a) = 0 or x[0] > a[size(a) - 1][1], concat(a, array(x)),
-            concat(slice(a, 1, size(a) - 1), array(array(a[size(a) - 1][0], greatest(a[size(a) - 1][1], x[1]))))))"""
-        out = flat.select("shard", "row", "doc_id", "n_words", F.expr(join).alias("intervals"), "items")
-    return out
+        flat = out.groupBy("shard", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("intervals"))).alias("v"), F.flatten(F.collect_list("windows")).alias("windows"))
+        out = flat.select("shard", "row", "doc_id", "n_words", F.expr(MERGED).alias("intervals"), "windows")
+    of = wanted.where("item_id is not null").join(numbered, "window").select("number", "item_id")
+    hits = out.select("shard", "row", F.explode("windows").alias("number"))
+    items = hits.join(C.small(C.materialize(of, "items-of-windows")), "number").groupBy("shard", "row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return out.join(C.small(C.materialize(items, "items-found")), ["shard", "row"], "left").select("shard", "row", "doc_id", "n_words", "intervals", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ per document. Shallow boosted trees are grown on a sample of labelled rows; ever
 conjunctive rule. A lasso logistic regression over the rules, and over the clipped statistics as linear terms, keeps few of them. The kept
 rules compile to one Spark column expression that scores all documents inside the JVM.
 
-The fit is on at most SAMPLE labelled rows, the smallest by a hash of the id; that bound is a parameter.
+The fit is on at most SAMPLE labelled rows, the smallest by a hash; that bound is a parameter.
 Nulls: a null text is an empty text and gets its score; null ids are scored and never learned from; null
 labels are left out. Repeated label rows of a document count once, by their largest value. With labels of one value or none, the score is
 the share of label 1 (0.5 without labels). Other columns are kept by `with_score` and ignored elsewhere;
@@ -207,9 +207,15 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.0015) -> Model:
 
 
 def learn(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """The model from (doc_id, st) and labels, both restricted by the caller to what may be learned from."""
+    """The model from (doc_id, st) and labels, both restricted by the caller to what may be learned from. Of more labelled
+    rows than `sample` those with the smallest hashes are taken. A threshold on the hash leaves about half as many again
+    before they are sorted, so what reaches the driver does not grow with the tables."""
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = stats.select("doc_id", "st").join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "y", "st.*").toPandas()
+    rows = C.materialize(stats.select("doc_id", "st").join(marks, "doc_id").withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "st"), 1)), "labelled")
+    n = rows.count()
+    if n > 1.5 * sample:
+        rows = rows.where(F.col("h") < F.lit(int((1 << 63) * (1.5 * sample / n))))
+    rows = rows.orderBy("h", "doc_id").limit(sample).select("doc_id", "y", "st.*").toPandas()
     rows = rows.sort_values(["doc_id", *STATS])  # the same fit whatever order the rows came in
     return fit(rows[list(STATS)].to_numpy(float), rows["y"].to_numpy(float))
 

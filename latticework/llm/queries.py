@@ -18,7 +18,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = perplexity.quality_rules(C.read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
-    return found.select("doc_id", *perplexity.BASE, "base_failed", "kept", "log_ppl", "q1", "q3")
+    return found.select("doc_id", *perplexity.BASE, "base_failed", "kept", "log_ppl", "q1", "mid", "q3", "band")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan_incremental(C.read(spark, sf_dir, "documents", "doc_id", "text"))
+    found, _ = secrets.scan_incremental(C.read(spark, sf_dir, "documents", "doc_id", "text"), secrets.configured(spark))
     every = F.array_sort(F.concat("spans", "added"), lambda a, b: a["start"] - b["start"])
     return found.select("doc_id", *[number("spans", k) for k, *_ in secrets.BASE], F.sha2(digest(F.col("spans")), 256).alias("base_sha256"), digest(every).alias("spans"))
 

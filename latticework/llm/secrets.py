@@ -1,8 +1,10 @@
 """Secret scans with an incremental blob ledger, in DataFrame expressions only.
 
 Every text is a blob named by the SHA-256 of its bytes. The ledger holds the pairs (blob, rule version)
-that have been scanned, with what was found. A scan takes only pairs that the ledger lacks, each blob
-once however many documents or historical versions have it, and joins the findings back to all paths.
+that have been scanned, with what was found; the version is a hash of the rules themselves, so changed rules scan
+anew. A scan takes only pairs that the ledger lacks, each blob once however many documents or historical versions
+have it, and joins the findings back to all paths and versions. A `Ledger` is a durable table in a folder that all
+executors share: each scan adds its new pairs in one commit, and a scan that ran twice at once counts once.
 
 The base rules are those of BASE; RULES adds more. Base spans always stay; an added span counts only where it
 overlaps no base span and no added span that starts before it (or is listed before it). Positions are code points.
@@ -12,9 +14,11 @@ Nulls: a null text is the empty blob; null and repeated ids are paths of their o
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import common as C
@@ -32,8 +36,6 @@ RULES = (
     ("jwt", r"eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", 0, 30),
     ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 30),
 )
-#: Changes whenever a rule changes; blobs scanned under another version are scanned again.
-VERSION = "1"
 #: A text without any of these has no match of the rule and is not searched.
 NEEDS = {"access": "AKIA", "github": "gh", "slack": "xox", "google": "AIza", "jwt": "eyJ", "pem": "-----BEGIN"}
 
@@ -41,6 +43,39 @@ SPAN = "struct<kind: string, start: int, end: int>"
 LEDGER = f"blob string, version string, spans array<{SPAN}>, added array<{SPAN}>"
 
 
+def version_of(base=BASE, rules=RULES) -> str:
+    """The version of a set of rules: blobs scanned under another one are scanned again."""
+    return "v" + hashlib.sha256(repr((tuple(map(tuple, base)), tuple(map(tuple, rules)))).encode()).hexdigest()[:16]
+
+
+#: The setting of the session that names the folder of a durable ledger.
+SETTING = "spark.latticework.secrets.ledger"
+
+
+def configured(spark: SparkSession) -> Ledger | None:
+    """The durable ledger that the session names; None where it names none, so that every blob is scanned."""
+    path = spark.conf.get(SETTING, None)
+    return Ledger(spark, path) if path else None
+
+
+class Ledger:
+    """A ledger in a folder, split by rule version."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def read(self, version: str) -> DataFrame:
+        """The pairs of a version, each once."""
+        try:
+            found = self.spark.read.schema(LEDGER).parquet(self.path)
+        except AnalysisException:  # nothing has been scanned yet
+            found = self.spark.createDataFrame([], LEDGER)
+        return found.where(F.col("version") == version)
+
+    def add(self, pairs: DataFrame) -> None:
+        pairs.select("blob", "spans", "added", "version").write.mode("append").partitionBy("version").option("compression", "zstd").parquet(self.path)
+
+
 def blob(text: Column) -> Column:
     """The address of a text."""
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
@@ -66,39 +101,44 @@ def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
     return F.when(there, found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def scan(blobs: DataFrame, base=BASE, rules=RULES, version: str = VERSION) -> DataFrame:
+def scan(blobs: DataFrame, base=BASE, rules=RULES) -> DataFrame:
     """Ledger rows of (blob, text)."""
     t = F.col("text")
     by_start = lambda c: F.array_sort(c, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(0))
-    found = blobs.select("blob", by_start(F.concat(*[spans(t, *r) for r in base])).alias("spans"), by_start(F.concat(*[spans(t, *r) for r in rules])).alias("more"))
+    none = F.array().cast(f"array<{SPAN}>")
+    found = blobs.select("blob", by_start(F.concat(none, *[spans(t, *r) for r in base])).alias("spans"), by_start(F.concat(none, *[spans(t, *r) for r in rules])).alias("more"))
     clear = lambda x, others: ~F.exists(others, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
-    added = F.aggregate("more", F.array().cast(f"array<{SPAN}>"), lambda a, x: F.when(clear(x, a) & clear(x, F.col("spans")), F.concat(a, F.array(x))).otherwise(a))
-    return found.select("blob", F.lit(version).alias("version"), "spans", added.alias("added"))
+    added = F.aggregate("more", none, lambda a, x: F.when(clear(x, a) & clear(x, F.col("spans")), F.concat(a, F.array(x))).otherwise(a))
+    return found.select("blob", F.lit(version_of(base, rules)).alias("version"), "spans", added.alias("added"))
 
 
-def unseen(docs: DataFrame, ledger: DataFrame | None, version: str = VERSION, text_col: str = "text") -> DataFrame:
-    """(blob, text): each blob once whose pair with the rule version the ledger lacks."""
+def unseen(docs: DataFrame, done: DataFrame | None, text_col: str = "text") -> DataFrame:
+    """(blob, text): each blob once that is not among those done (column blob)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     blobs = docs.select(blob(F.col(text_col)).alias("blob"), text)
-    if ledger is not None:
-        done = ledger.where(F.col("version") == version).select("blob")
-        blobs = blobs.join(done, "blob", "left_anti")
+    if done is not None:
+        blobs = blobs.join(done.select("blob"), "blob", "left_anti")
     return blobs.dropDuplicates(["blob"])
 
 
-def scan_incremental(docs: DataFrame, ledger: DataFrame | None = None, version: str = VERSION, base=BASE, rules=RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, blob, spans, added) of every row of docs, and the ledger with the new pairs."""
-    new = C.materialize(scan(unseen(docs, ledger, version, text_col), base, rules, version), "ledger")
-    whole = new if ledger is None else ledger.select("blob", "version", "spans", "added").unionByName(new)
-    paths = docs.select(F.col(id_col).alias("doc_id"), blob(F.col(text_col)).alias("blob"))
-    known = whole.where(F.col("version") == version).select("blob", "spans", "added")
-    return paths.join(known, "blob", "left").select("doc_id", "blob", "spans", "added"), whole
+def scan_incremental(docs: DataFrame, ledger: Ledger | None = None, base=BASE, rules=RULES, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, *more, blob, spans, added) of every row of docs, and (blob, version, spans, added) of the rules' version. Rows may
+    be historical versions of one path; `more` has the columns that name them. Without a ledger all blobs are new."""
+    before = ledger and ledger.read(version_of(base, rules))
+    new = scan(unseen(docs, before, text_col), base, rules)
+    if ledger is None:
+        known = C.materialize(new, "ledger")
+    else:
+        ledger.add(new)
+        known = ledger.read(version_of(base, rules)).dropDuplicates(["blob"])
+    paths = docs.select(F.col(id_col).alias("doc_id"), *more, blob(F.col(text_col)).alias("blob"))
+    return paths.join(known.select("blob", "spans", "added"), "blob", "left").select("doc_id", *more, "blob", "spans", "added"), known
 
 
-def redacted(docs: DataFrame, ledger: DataFrame, version: str = VERSION, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span that the ledger has for their texts replaced by the mark."""
+def redacted(docs: DataFrame, known: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """docs with every span that is known (blob, spans, added) for their texts replaced by the mark."""
     key = f"blob_{uuid.uuid4().hex}"
-    some = ledger.where((F.col("version") == version) & (F.size(F.concat("spans", "added")) > 0))
+    some = known.where(F.size(F.concat("spans", "added")) > 0)
     some = some.select(F.col("blob").alias(key), F.array_sort(F.concat("spans", "added"), lambda a, b: a["start"] - b["start"]).alias(f"{key}_s"))
     t = F.col(text_col)
 

@@ -1,12 +1,12 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
-A 64-bit fingerprint is mapped to its per-segment bit counts (16 segments of 4 bits). The Manhattan
+A 64-bit fingerprint is mapped to its per-segment bit counts (32 segments of 2 bits). The Manhattan
 distance of two such vectors is a lower bound of the Hamming distance of the fingerprints, so
 fingerprints that link (at most 3 bits) lie within Manhattan distance 3, and differ in at most 3 of the
 6 groups that the segments form. Each fingerprint goes into the 20 grid cells that fix the counts of 3
-groups; every linked pair meets in at least one cell. Inside a cell the Manhattan bound is tested first,
-then the exact Hamming distance. A cell gives a spanning forest of its links, never all pairs; a cell of
-very many different fingerprints is split into sub-cells for each pair of its parts.
+groups (about 24 bits of each); every linked pair meets in at least one cell. Inside every cell the Manhattan
+bound is tested first, then what is left by the exact Hamming distance. A cell gives a spanning forest of its
+links, never all pairs; a cell of very many different fingerprints is split into sub-cells for each pair of its parts.
 
 Nulls: a null text has no words, so fingerprint zero; a null doc_id keeps its row, and component_id is
 the smallest non-null doc_id of its component (null if there is none). Repeated rows are kept. Other
@@ -26,18 +26,27 @@ from pyspark.sql import functions as F
 
 from latticework.llm import common as C
 
-#: Segments (nibbles, from the lowest) of each of the six groups.
-GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (9, 10, 11), (12, 13), (14, 15))
+#: Bits of a segment, and how many segments (from the lowest) each of the six groups has.
+SEGMENT, GROUPS = 2, (6, 6, 5, 5, 5, 5)
 #: Different fingerprints of one cell that one task compares; larger cells are split.
 CELL_LIMIT = 8192
+#: Cells up to this size are compared many at a time, larger ones one by one; the tests are the same.
 SMALL_CELL = 48
+ODD = 0x5555555555555555
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-MASKS = [_signed(sum(0xF << 4 * s for g in c for s in GROUPS[g])) for c in combinations(range(6), 3)]
+def masks() -> list[int]:
+    """For each choice of three groups the bits of their segments."""
+    first = [sum(GROUPS[:g]) for g in range(len(GROUPS))]
+    bits = [((1 << SEGMENT * n) - 1) << SEGMENT * f for f, n in zip(first, GROUPS, strict=True)]
+    return [_signed(sum(bits[g] for g in c)) for c in combinations(range(len(GROUPS)), 3)]
+
+
+MASKS = masks()
 
 
 def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -63,6 +72,13 @@ def fingerprints_of(raw: np.ndarray, offsets: np.ndarray, shingle: int = 3, seed
     begin = starts[begin].tolist()
     h = xxhash.xxh64_intdigest
     hashes = np.fromiter((h(text[a:b], seed) for a, b in zip(begin, stop, strict=True)), np.uint64, len(begin))
+    return majority(hashes, first)
+
+
+def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text from the hashes of its shingles; first has the first of each text, and one more at the end."""
+    count = np.diff(first)
+    out = np.zeros(len(count), np.uint64)
     octets = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     for k in np.flatnonzero(count).tolist():  # one text at a time: the bits take eight times the hashes
         own = octets[first[k] : first[k + 1]]
@@ -86,19 +102,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def embedding(fp: np.ndarray) -> np.ndarray:
-    """Bit counts of the 16 segments, four bits each, packed in one 64-bit number."""
-    x = fp - ((fp >> np.uint64(1)) & np.uint64(0x5555555555555555))
-    return (x & np.uint64(0x3333333333333333)) + ((x >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    """Bit counts of the segments, each written as so many ones (0: 00, 1: 01, 2: 11)."""
+    odd = np.uint64(ODD)
+    high = fp >> np.uint64(1)
+    return ((fp | high) & odd) | (((fp & high) & odd) << np.uint64(1))
 
 
 def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Manhattan distance of packed embeddings."""
-    high, ones = np.uint64(0x8888888888888888), np.uint64(0x1111111111111111)
-    d = (a | high) - b
-    less = (~d & high) >> np.uint64(3)
-    part = ((d & (ones * np.uint64(7))) ^ (less * np.uint64(7))) + less
-    low = np.uint64(0x0F0F0F0F0F0F0F0F)
-    return (((part & low) + ((part >> np.uint64(4)) & low)) * np.uint64(0x0101010101010101)) >> np.uint64(56)
+    """Manhattan distance of embeddings: counts written as ones differ in as many bits as their difference."""
+    return np.bitwise_count(a ^ b)
 
 
 def roots(u: np.ndarray, v: np.ndarray, n: int, start: np.ndarray | None = None) -> np.ndarray:
@@ -140,7 +152,7 @@ def cell_links(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray
     for k in np.flatnonzero(size > SMALL_CELL):
         a, b = int(edge[k]), int(edge[k + 1])
         for i in range(a, b, 256):
-            x, y = np.nonzero(np.bitwise_count(fps[i : min(i + 256, b), None] ^ fps[None, i:b]) <= most)
+            x, y = np.nonzero(manhattan(emb[i : min(i + 256, b), None], emb[None, i:b]) <= most)
             apart = label[x + i] != label[y + i]  # pairs that are connected already need no link
             x, y = x[apart] + i, y[apart] + i
             label = roots(*verified(x, y), n, label)
@@ -153,10 +165,8 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
     within `most` <= 3 differing bits."""
     if not 0 <= most <= 3:
         raise ValueError("the grid of cells holds for at most 3 differing bits")
-    # bit counts of pairs, then of nibbles; the pairs are added by bit operations, as a sum could overflow
-    low, high = F.col("fp").bitwiseAND(F.lit(0x5555555555555555)), F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(0x5555555555555555))
-    x = low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
-    emb = x.bitwiseAND(F.lit(0x3333333333333333)) + F.shiftrightunsigned(x, 2).bitwiseAND(F.lit(0x3333333333333333))
+    high, odd = F.shiftrightunsigned("fp", 1), F.lit(ODD)
+    emb = F.col("fp").bitwiseOR(high).bitwiseAND(odd).bitwiseOR(F.shiftleft(F.col("fp").bitwiseAND(high).bitwiseAND(odd), 1))
     cells = fps.select("fp", emb.alias("e")).select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("e").bitwiseAND(F.lit(m))) for i, m in enumerate(MASKS)])).alias("cell"))
     hot = C.materialize(cells.groupBy("cell").count().where(F.col("count") > CELL_LIMIT), "simhash-hot")
     if not hot.isEmpty():
@@ -189,7 +199,8 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node reachable, for nodes with a link. Large-star and
-    small-star rounds, as joins and aggregates, until nothing changes; no list of neighbours is built."""
+    small-star rounds, as joins and aggregates, until nothing changes; no list of neighbours is built, and
+    the links of hubs are not shuffled to one task."""
     edges = C.materialize(edges.select("u", "v"), "links")
     state = F.struct(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")))
     before = None
@@ -197,13 +208,17 @@ def components(edges: DataFrame) -> DataFrame:
         now = edges.agg(state).first()[0]
         if now == before or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+        before, old = now, edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).withColumn("m", F.least("u", "m"))
+        least = C.materialize(least, "stars")
+        large = C.join_counted(both, least, "u", "degree", 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = C.materialize(large, "large-stars")
+        small = large.groupBy("u").agg(F.min("v").alias("m"))
         pair = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-        edges = C.materialize(large.join(least, "u").select(pair.alias("p")).select("p.u", "p.v").where("u <> v").distinct(), "links")
+        edges = C.materialize(large.join(small, "u").select(pair.alias("p")).select("p.u", "p.v").where("u <> v").distinct(), "links")
+        for table in (old, least, large):
+            C.discard(table)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3) -> DataFrame:
@@ -215,7 +230,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links(nodes.select("fp"), most))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = C.materialize(rooted, "simhash-roots")
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n_linked"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id", "n_rows", "n_linked")
+    smallest = C.materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n_linked")), "simhash-components")
+    different, total = (x or 0 for x in rooted.agg(F.count(F.lit(1)), F.sum("n_rows")).first())
+    classes = C.join_counted(rooted, smallest, "root", "n_linked", different).select("fp", "component_id", "n_rows", "n_linked")
     fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return fps.join(classes, "fp").select("doc_id", fingerprint, "component_id", "n_rows", "n_linked")
+    return C.join_counted(fps, C.materialize(classes, "simhash-classes"), "fp", "n_rows", total).select("doc_id", fingerprint, "component_id", "n_rows", "n_linked")

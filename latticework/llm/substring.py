@@ -6,7 +6,9 @@ equal hashes of all tasks meet and all but the first are reported too. The repor
 packed for each part of the documents and merge into maximal removal intervals. The number of buckets follows the amount of text, and
 a task gives at most one row of a bucket per hash, so frequent passages do not gather anywhere.
 
-Hashes have 64 bits: two different windows share one with a chance of n^2 / 2^65 over n windows.
+Windows count as equal if they meet in one bucket and have equal 64-bit hashes there. The bucket comes from a
+second, independent hash, and the number B of buckets grows with the text, so over n windows n^2 / (B 2^65)
+false pairs are expected: 0.0003 over 30 GB, about 1 over 100 TB.
 
 Nulls: a null text has no words; null ids come before all others, and rows of one id in the order of
 their texts (such tables are numbered by a written, sorted copy). Other columns are ignored.
@@ -23,12 +25,14 @@ from pyspark.sql import functions as F
 
 from latticework.llm import common as C
 
-#: Bytes of text whose windows one bucket gets: about 2.5 million windows.
-BUCKET_BYTES = 16 << 20
+#: Bytes of text whose windows one bucket gets, and of text whose windows a task holds at once: about 1.3 million windows.
+BUCKET_BYTES = 8 << 20
+#: The bases of the two hashes of a window.
+BASES = (C.BASE ^ 0x55550, 0xD6E8FEB86659FD93)
 
 
-def window_hashes(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hash of every window, its document (index) and its start (in words)."""
+def window_hashes(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes of every window, its document (index) and its start (in words)."""
     starts, ends, at = C.word_spans(raw, offsets)
     words = np.diff(at)
     count = np.maximum(words - width + 1, 0)
@@ -36,8 +40,10 @@ def window_hashes(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     start = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
     begin = at[doc] + start
     if not len(begin):
-        return np.zeros(0, np.uint64), doc, start
-    return C.mix(C.rolling(C.word_hashes(raw, starts, ends), begin, begin + width, C.BASE ^ 0x55550)), doc, start
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), doc, start
+    words = C.word_hashes(raw, starts, ends)
+    first, second = (C.mix(C.rolling(w, begin, begin + width, base)) for w, base in zip((words, C.mix(words)), BASES, strict=True))
+    return first, second, doc, start
 
 
 def merged(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,13 +105,14 @@ def repeated(rows: DataFrame, buckets: int, parts: int, width: int = 20) -> Data
             b = b.take(pa.array(np.argsort(b.column(0).to_numpy(), kind="stable")))
             ids = b.column(0).to_numpy()
             raw, offsets = C.utf8(b.column(1))
-            for lo, hi in C.chunks(offsets, 16 << 20):
+            for lo, hi in C.chunks(offsets, BUCKET_BYTES):
                 done = []
                 for i, j in C.chunks(offsets[lo : hi + 1]):
                     i, j = i + lo, j + lo
-                    h, doc, start = window_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-                    done.append((h, (doc + i).astype(np.int32), start.astype(np.uint32)))
-                h, doc, start = (np.concatenate(x) for x in zip(*done, strict=True))
+                    h, other, doc, start = window_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+                    bucket = ((other >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                    done.append((h, bucket.astype(np.uint32), (doc + i).astype(np.int32), start.astype(np.uint32)))
+                h, where, doc, start = (np.concatenate(x) for x in zip(*done, strict=True))
                 del done
                 _, kept = np.unique(h, return_index=True)
                 again = np.ones(len(h), bool)
@@ -113,8 +120,7 @@ def repeated(rows: DataFrame, buckets: int, parts: int, width: int = 20) -> Data
                 for part, runs, packed in by_part(ids[doc[again]], start[again], parts):
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((buckets + part, None, runs, packed), OUT.types, strict=True)], schema=OUT)
                 kept.sort()
-                h, doc, start = h[kept], doc[kept], start[kept]
-                where = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                h, where, doc, start = h[kept], where[kept], doc[kept], start[kept]
                 order = np.argsort(where, kind="stable")
                 edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), np.diff(where[order]) > 0)))
                 for part in np.split(order, edge[1:]) if len(edge) else []:
