@@ -15,7 +15,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects (score under 0.7)."""
+    """Drops the documents that the quality classifier rejects (score under 0.7). A null text is judged as an empty one;
+    rows with null or repeated ids are judged each by their own text, and null ids are never learned from."""
     labels = C.read(spark, sf_dir, "labels", "doc_id", "quality")
     learned = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").where(C.crc_mod(F.col("doc_id"), 4) != 2)
     model = quality.learn(quality.statistics_of(learned), labels)
@@ -23,14 +24,15 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near-duplicates (Jaccard similarity of five-word shingles at least 0.8) the
-    row with the smallest doc_id, nulls last. Rows are judged one by one, whatever their doc_id."""
+    """Keeps of each component of near-duplicates (Jaccard similarity of five-word shingles at least 0.8; candidates from the
+    SimHash operator and, as its 3 bits find only part of them, from MinHash cells) the row with the smallest doc_id, nulls last.
+    Rows are judged one by one, whatever their doc_id."""
     return neardup.survivors(docs).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item. Texts are judged by their hash, so rows with
-    null or repeated ids are too."""
+    null or repeated ids are too. A null text holds none and stays."""
     marked = docs.withColumn("_text", neardup.text_hash())
     found = postings.contamination(marked, C.read(spark, sf_dir, "benchmark", "item_id", "text"), id_col="_text")
     hit = found.where("n_hit > 0").select(F.col("doc_id").alias("_text")).distinct()
@@ -38,20 +40,21 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by [SECRET]; the documents stay."""
-    _, ledger = secrets.scan_incremental(docs)
-    return secrets.redacted(docs, ledger).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Replaces every secret by [SECRET]; the documents stay. A null text stays null. Blobs that the session's ledger
+    (secrets.SETTING) has already are not scanned again."""
+    _, known = secrets.scan_incremental(docs, secrets.configured(spark))
+    return secrets.redacted(docs, known).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of at most 2048 tokens."""
+    """Packs what is left into sequences of at most 2048 tokens; a null text is one token."""
     parts, placed = packing.pack(docs)
     return parts.join(placed, "uid").select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 STAGES = [
     ("quality classifier", quality_filter),
-    ("near-dedup", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", decontaminate),
     ("secret scans", redact_secrets),
     ("best-fit packing", pack),
