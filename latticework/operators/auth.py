@@ -59,7 +59,7 @@ class User:
 
 def hashed(password: str, salt: bytes | None = None) -> str:
     salt = salt or secrets.token_bytes(16)
-    return f"{salt.hex()}${hashlib.scrypt(password.encode(), salt=salt, n=1 << 12, r=8, p=1).hex()}"
+    return f"{salt.hex()}${hashlib.scrypt(password.encode(), salt=salt, n=1 << 14, r=8, p=1).hex()}"
 
 
 class Users:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column
@@ -11,6 +12,8 @@ from latticework.functions.metrics import METRICS
 
 KEY_VALUE, VECTOR = "key-value", "vector"
 BASES = ("Flat", "HNSW", "IVF", "PQ")
+#: A space's name is a folder's name too: letters, digits, _ and -, no dots or slashes.
+NAME = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_-]{0,127}")
 
 
 @dataclass
@@ -64,7 +67,15 @@ def with_defaults(s: Space) -> Space:
     return Space(s.name, engine, s.dimension, s.index_type or ("Flat" if engine == VECTOR else ""), s.metric, s.enable_wal)
 
 
+def check_name(name: str) -> None:
+    if not name:
+        raise ValueError("space name is required")
+    if not NAME.fullmatch(name):
+        raise ValueError(f"invalid space name: {name}")
+
+
 def check(s: Space, valid_index: bool) -> None:
+    check_name(s.name)
     if s.engine_type not in (KEY_VALUE, VECTOR):
         raise ValueError(f"unknown engine type: {s.engine_type}")
     if s.engine_type == VECTOR:

@@ -72,5 +72,12 @@ def replay(wal: DataFrame) -> DataFrame:
     return wal.where("flag <> 'C'").select("seq", op, "key", "value")
 
 
+def mark_committed(wal: DataFrame, seqs: DataFrame, seq: str = "seq") -> DataFrame:
+    """The write-ahead log with the entries of the given numbers (column seq) marked as committed."""
+    done = seqs.select(seq).distinct().withColumn("_done", F.lit(True))
+    marked = F.when(F.col("_done"), F.lit("C")).otherwise(F.col("flag"))
+    return wal.join(done, seq, "left").select(*[marked.alias(c) if c == "flag" else F.col(c) for c in wal.columns])
+
+
 def recover(log: DataFrame, wal: DataFrame) -> DataFrame:
     return view(log.unionByName(replay(wal)))

@@ -171,6 +171,37 @@ def knn_join(spark: SparkSession, d: str) -> DataFrame:
     return vectors.knn_join(s, spread, 5)
 
 
+def add_join(metric: str, name: str) -> None:
+    """The ten nearest of every vector whose id is divisible by 20."""
+    side = "list_transform(cast({}.embedding as double[]), lambda x: abs(x))" if metric == "JensenShannon" else "cast({}.embedding as double[])"
+    order = "desc" if M.similarity(metric) else "asc"
+
+    @query(f"topk_{name}_join", f"""select query_id, cast(rank as bigint) as rank, id, distance from (select query_id, id, round(d, 6) as distance, row_number() over (partition by query_id order by d {order}, id) as rank
+        from (select a.vec_id as query_id, b.vec_id as id, {M.sql(metric, side.format('b'), side.format('a'))} as d from embeddings a, embeddings b where a.vec_id % 20 = 0)) where rank <= 10""")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        s = space(spark, d)
+        if metric == "JensenShannon":
+            s = s.withColumn("vector", F.transform("vector", F.abs))
+        return vectors.knn_join(s.where("id % 20 = 0"), s.repartition(spark.sparkContext.defaultParallelism), 10, metric)
+
+
+for _metric, _name in NAMES.items():
+    add_join(_metric, _name)
+
+
+def add_range_join(name: str, metric: str, radius: float) -> None:
+    test = f"d > {radius}" if M.similarity(metric) else f"d < {radius}"
+
+    @query(name, f"select query_id, id, round(d, 6) as distance from (select a.vec_id as query_id, b.vec_id as id, {M.sql(metric, 'cast(b.embedding as double[])', 'cast(a.embedding as double[])')} as d from embeddings a, embeddings b where a.vec_id % 20 = 0) where {test}")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        s = space(spark, d)
+        return vectors.range_join(s.where("id % 20 = 0"), s.repartition(spark.sparkContext.defaultParallelism), radius, metric)
+
+
+for _args in (("range_l2_join", "L2", 1.7), ("range_ip_join", "InnerProduct", 0.15), ("range_l1_join", "L1", 8.3), ("range_linf_join", "Linf", 0.37)):
+    add_range_join(*_args)
+
+
 @query("knn_label_vote", f"""with k as ({KNN}), v as (select query_id, label, count(*) as n from k join embeddings e on e.vec_id = k.id group by all)
     select query_id, label from (select *, row_number() over (partition by query_id order by n desc, label) as r from v) where r = 1""")
 def knn_label_vote(spark: SparkSession, d: str) -> DataFrame:
@@ -305,6 +336,41 @@ def kv_composite_key(spark: SparkSession, d: str) -> DataFrame:
     return kv.view(rows.select(F.col("turn").alias("seq"), F.lit("PUT").alias("op"), F.concat_ws(":", F.col("conv_id").cast("string"), "role").alias("key"), F.col("text").alias("value")))
 
 
+# Batches of a stored log: the events whose id leaves 0 to 3 over 4, in that order; in each the last event of a user.
+
+BATCHED = "select cast(user_id as varchar) as key, arg_max(event_type, row(event_id % 4, ts, event_id)) as value from events group by 1"
+
+
+def stored_log(spark: SparkSession, d: str):
+    import uuid
+
+    from latticework.sources import stores
+
+    log = stores.Log(spark, f"{stores.shared_dir(spark)}/log-{uuid.uuid4().hex}", stores.KV_LOG, "key")
+    rows = kv_log(spark, d).withColumn("op", F.lit("PUT"))
+    for b in range(4):
+        log.append(kv.view(rows.where(F.col("seq.event_id") % 4 == b)), "PUT")
+    return log
+
+
+@query("kv_put_batch", BATCHED)
+def kv_put_batch(spark: SparkSession, d: str) -> DataFrame:
+    return kv.view(stored_log(spark, d).read())
+
+
+@query("kv_compact", BATCHED)
+def kv_compact(spark: SparkSession, d: str) -> DataFrame:
+    """The live rows only, as stored after compaction."""
+    return stored_log(spark, d).compact(kv.view).read().where("op = 'PUT'").select("key", "value")
+
+
+@query("kv_mark_committed", """select cast(user_id as varchar) as key, arg_max(event_type, row(ts, event_id)) as value from events where event_id % 3 <> 0 group by 1""")
+def kv_mark_committed(spark: SparkSession, d: str) -> DataFrame:
+    """What a recovery replays once every third entry has been marked as committed."""
+    wal = kv_log(spark, d).select("seq", F.lit("P").alias("flag"), "key", "value")
+    return kv.view(kv.replay(kv.mark_committed(wal, wal.where(F.col("seq.event_id") % 3 == 0))))
+
+
 # Catalog, users and connections, over given rows on both sides
 
 INDEX_TYPES = ("Flat", "Flat32", "HNSW", "HNSW1", "HNSW3", "HNSW32", "HNSW256", "HNSW512", "IVF", "IVF32", "PQ8", "PQ", "IVF32,Flat", "IVF64,PQ16", "IVF,Flat", "", ",", "HNSW32,,Flat", " HNSW32 , Flat ", "Invalid", "Unknown32", "Flat,Flat", "hnsw32")
@@ -402,13 +468,12 @@ def client_throughput(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_kv_upsert")
 def stream_kv_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream into a log, then the last value of each key."""
-    import tempfile
     import uuid
 
+    from latticework.sources import stores
     from latticework.streaming import upsert
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{stores.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = events(spark, d).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*")
     upsert.upsert_stream(upsert.kv_stream(stream), f"{root}/log", f"{root}/checkpoint").awaitTermination()

@@ -16,6 +16,11 @@ from latticework.sources import stores
 SPACES = "name string, engine_type string, dimension int, index_type string, metric string, enable_wal boolean"
 USERS = "username string, password_hash string, role string, permissions map<string, string>"
 #: Commands that change spaces or users; only admins may give them.
+#: Writes of a space without a write-ahead log that are held back before they go out as one batch, and batches of a log
+#: after which it is compacted.
+HELD, COMPACT = 1000, 64
+#: The replies that clients see when a guard refuses.
+REFUSALS = {auth.ADMIN: "admin access required", auth.WRITE: "write permission denied", auth.READ: "read permission denied"}
 CHANGES = ("CREATE_SPACE", "DELETE_SPACE", "CREATE_USER", "UPDATE_USER_PASSWORD", "UPDATE_USER_ROLE", "UPDATE_USER_PERMISSIONS", "DELETE_USER")
 
 
@@ -38,7 +43,8 @@ class Query:
 
 
 class Engine:
-    """Spaces and users under a shared folder."""
+    """Spaces and users under a shared folder. Single writes go out at once in a space with a write-ahead log; in others they
+    are held back and go out in batches, before any read of the space and on close."""
 
     def __init__(self, spark: SparkSession, root: str, admin_password: str | None = None) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -48,10 +54,12 @@ class Engine:
         self.users = auth.Users([auth.User(r["username"], r["password_hash"], r["role"], r["permissions"] or {}) for r in self._users.read()], admin_password)
         self.current: str | None = None
         self.changes = threading.RLock()
+        self.held: dict[str, list[tuple]] = {}
 
     # spaces
     def create_space(self, space: catalog.Space) -> str:
         space = catalog.with_defaults(space)
+        catalog.check_name(space.name)
         if space.name in self.spaces:
             raise ValueError("space already exists")
         ok = self.spark.createDataFrame([(space.index_type,)], "t string").select(catalog.index_type_valid(F.col("t"))).first()[0] if space.engine_type == catalog.VECTOR else True
@@ -61,34 +69,75 @@ class Engine:
         return "SPACE_CREATED"
 
     def delete_space(self, name: str) -> str:
+        catalog.check_name(name)
         self.space(name)
+        self.held.pop(name, None)
         del self.spaces[name]
         self._spaces.write([s.row() for s in self.spaces.values()])
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        stores.Folder(self.spark, f"{self.root}/{name}").delete()
         return "SPACE_DELETED"
 
     def list_spaces(self) -> DataFrame:
         return self.spark.createDataFrame([(n,) for n in self.spaces], "name string").orderBy("name")
 
     def use_space(self, name: str) -> catalog.Space:
+        found = self.space(name)
         self.current = name
-        return self.space(name)
+        return found
 
     def space(self, name: str, engine: str | None = None) -> catalog.Space:
         if name not in self.spaces:
-            raise ValueError("space not found")
+            raise ValueError("space does not exist")
         s = self.spaces[name]
         if engine and s.engine_type != engine:
             raise ValueError(f"operation not supported: not a {engine} space")
         return s
 
-    def log(self, name: str) -> stores.Log:
+    def _log(self, name: str) -> stores.Log:
         vector = self.space(name).engine_type == catalog.VECTOR
         return stores.Log(self.spark, f"{self.root}/{name}/log", stores.VECTOR_LOG if vector else stores.KV_LOG, "id" if vector else "key")
 
+    def log(self, name: str) -> stores.Log:
+        """The log of a space with all that was held back for it."""
+        self.flush(name)
+        return self._log(name)
+
+    def hold(self, name: str, op: str, key, value=None) -> None:
+        with self.changes:
+            self.held.setdefault(name, []).append((op, key, value))
+            if self.space(name).enable_wal or len(self.held[name]) >= HELD:
+                self.flush(name)
+
+    def flush(self, name: str) -> None:
+        """Write what was held back as one batch; compact the log after many batches."""
+        with self.changes:
+            rows = self.held.get(name)
+            if not rows:
+                return
+            log = self._log(name)
+            kinds = dict(x.split(" ", 1) for x in log.schema.split(", "))
+            (key, a), (value, b) = list(kinds.items())[2:]
+            log.append(self.spark.createDataFrame(rows, f"op string, {key} {a}, {value} {b}").coalesce(1))
+            del self.held[name]  # only once they are written
+            if len(log.batches()) >= COMPACT:
+                self.compact(name)
+
+    def compact(self, name: str) -> None:
+        with self.changes:
+            log = self.log(name)
+            log.compact(vectors.view if self.space(name).engine_type == catalog.VECTOR else kv.view)
+
+    def close(self, name: str | None = None) -> None:
+        """Write what is held back, of one space or of all."""
+        for x in [name] if name else list(self.held):
+            self.flush(x)
+
     # key-value
+    def put(self, name: str, key: str, value: str) -> str:
+        self.space(name, catalog.KEY_VALUE)
+        self.hold(name, "PUT", key, value)
+        return "OK"
+
     def put_batch(self, name: str, rows: DataFrame) -> str:
         self.space(name, catalog.KEY_VALUE)
         self.log(name).append(rows, "PUT")
@@ -103,7 +152,7 @@ class Engine:
         log = self.log(name)
         if kv.view(log.read_key(key)).isEmpty():
             raise kv.KeyNotFound("key not found")
-        log.append(self.spark.createDataFrame([(key,)], "key string"), "DEL")
+        self.hold(name, "DEL", key)
         return "DELETED"
 
     def kv_view(self, name: str) -> DataFrame:
@@ -119,19 +168,31 @@ class Engine:
         self.log(name).append(rows.select("id", F.col("vector").cast("array<float>").alias("vector")), "PUT")
         return "VECTOR_INSERTED"
 
+    def insert(self, name: str, id: int, vector: list[float]) -> str:
+        space = self.space(name, catalog.VECTOR)
+        if len(vector) != space.dimension:
+            raise ValueError(f"vector dimension mismatch: expected {space.dimension}, got {len(vector)}")
+        self.hold(name, "PUT", id, vector)
+        return "VECTOR_INSERTED"
+
     def remove_vector(self, name: str, id: int) -> None:
         self.space(name, catalog.VECTOR)
-        self.log(name).append(self.spark.createDataFrame([(id,)], "id long"), "DEL")
+        self.hold(name, "DEL", id)
 
     def vectors(self, name: str) -> DataFrame:
         """The live vectors; none while an index that must be trained has too few."""
         space = self.space(name, catalog.VECTOR)
         live = vectors.view(self.log(name).read())
-        need = ann.required_training(space.index_type)
-        return live.where(F.lit(False)) if need and live.limit(need).count() < need else live
+        return live if self.trained(name, live) else live.where(F.lit(False))
+
+    def trained(self, name: str, live: DataFrame | None = None) -> bool:
+        """Whether a space has enough vectors for its index."""
+        need = ann.required_training(self.space(name, catalog.VECTOR).index_type)
+        live = vectors.view(self.log(name).read()) if need and live is None else live
+        return not need or live.limit(need).count() >= need
 
     def get_vector(self, name: str, id: int) -> list[float]:
-        row = vectors.view(self.log(name).read_key(id)).first()
+        row = vectors.view(self.log(name).read_key(id)).first() if self.trained(name) else None
         if row is None:
             raise kv.KeyNotFound(f"ID {id} not found")
         return list(row["vector"])
@@ -156,7 +217,7 @@ class Engine:
     def authorize(self, user: auth.User, q: Query) -> None:
         need = dict(auth.GUARDS).get(q.type.upper())
         if need == auth.ADMIN and user.role != auth.ADMIN or need in (auth.READ, auth.WRITE) and not user.may(q.space, need):
-            raise auth.AuthError("permission denied")
+            raise auth.AuthError(REFUSALS[need])
 
     def execute(self, q: Query, user: auth.User):
         """The reply to a command: text, or a DataFrame for what lists or searches. Commands that change
@@ -168,10 +229,9 @@ class Engine:
         return self._run(q, user)
 
     def _run(self, q: Query, user: auth.User):
-        row = lambda schema, *v: self.spark.createDataFrame([v], schema)
         new = q.new_user
         if q.type in (*CHANGES, "GET_USER") and self.users.get(user.username).role != auth.ADMIN:
-            raise auth.AuthError("permission denied")
+            raise auth.AuthError(REFUSALS[auth.ADMIN])
         match q.type:
             case "CREATE_SPACE":
                 return self.create_space(catalog.Space(q.space, q.engine_type, q.dimension, q.index_type, q.metric, q.enable_wal))
@@ -181,16 +241,16 @@ class Engine:
                 return self.list_spaces()
             case "USE_SPACE":
                 self.use_space(q.space)
-                return "SPACE_EXISTS"
+                return "SPACE_CHANGED"
             case "PUT":
-                return self.put_batch(q.space, row("key string, value string", q.key, q.value))
+                return self.put(q.space, q.key, q.value)
             case "GET":
                 return self.get(q.space, q.key)
             case "DELETE":
                 return self.delete(q.space, q.key)
             case "INSERT_VECTOR":
                 v = T.parse_one(q.value, self.space(q.space, catalog.VECTOR).dimension)
-                return self.insert_batch(q.space, row("id long, vector array<float>", self._id(q.key), v))
+                return self.insert(q.space, self._id(q.key), v)
             case "SEARCH_TOPK":
                 return self.search_topk(q.space, T.parse_one(q.value, self.space(q.space, catalog.VECTOR).dimension), q.dimension)
             case "RANGE_SEARCH":

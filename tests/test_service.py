@@ -49,7 +49,7 @@ def test_console_session(running):
     assert json.loads(run("list-spaces")["message"]) == {"status": "OK", "spaces": ["kv", "v"]}
     with pytest.raises(console.Refused):
         run("put a 1")
-    assert run("use nothing")["message"] == "space not found"
+    assert run("use nothing")["message"] == "space does not exist"
     run("use kv")
     assert run("put a 1")["message"] == "OK" and run("get a")["value"] == "1" and run("delete a")["message"] == "DELETED"
     assert run("get a") == {"status": "ERROR", "message": "key not found"}

@@ -8,6 +8,7 @@ from latticework.functions import metrics as M
 from latticework.functions import vectortext as T
 from latticework.operators import ann, auth, catalog, kv, management, vectors
 from latticework.plans import catalogue
+from latticework.plans import engine as engine_module
 from latticework.plans.engine import Engine, Query
 from latticework.sources import stores
 from latticework.streaming import upsert
@@ -138,7 +139,7 @@ def test_engine_end_to_end(spark, tmp_path):
     ann_ = again.users.authenticate("ann", "p")
     with pytest.raises(auth.AuthError):
         again.users.authenticate("ann", "q")
-    assert json.loads(again.reply('{"type": "PUT", "space": "kv", "key": "a", "value": "b"}', ann_))["message"] == "permission denied"
+    assert json.loads(again.reply('{"type": "PUT", "space": "kv", "key": "a", "value": "b"}', ann_))["message"] == "write permission denied"
     assert "{" in json.loads(again.reply('{"type": "GET", "space": "kv", "key": "jsonKey"}', ann_))["value"]
     assert [r["name"] for r in run({"type": "LIST_SPACES"})["message"]] == ["kv", "v"]
     assert run({"type": "GET_USER", "data": "ann"})["message"] == "Username: ann | Role: user | Permissions: kv=read"
@@ -153,7 +154,76 @@ def test_point_read_opens_one_bucket(spark, tmp_path):
     one = log.read_key("k7")
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert one.count() == 1 and "PartitionFilters" in plan and "EqualTo(key,k7)" in plan
-    assert kv.view(log.compact(kv.view(log.read())).read()).count() == 100
+    assert kv.view(log.compact(kv.view).read()).count() == 100
+
+
+@pytest.mark.parametrize("name", ["", "..", ".", "users.json", "a/b", "/", "a b", "x" * 200])
+def test_unsafe_space_names_are_refused(spark, tmp_path, name):
+    e = Engine(spark, str(tmp_path), "secret")
+    admin = e.users.authenticate("admin", "secret")
+    run = lambda q: json.loads(e.reply(json.dumps(q), admin))
+    e._saved("")
+    assert run({"type": "CREATE_SPACE", "space": "kept"})["status"] == "OK"
+    assert run({"type": "CREATE_SPACE", "space": name})["status"] == "ERROR" and list(e.spaces) == ["kept"]
+    assert run({"type": "DELETE_SPACE", "data": name})["status"] == "ERROR"
+    again = Engine(spark, str(tmp_path))
+    assert list(again.spaces) == ["kept"] and list(again.users.rows) == ["admin"]
+
+
+def test_writes_are_held_and_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(engine_module, "HELD", 5)
+    monkeypatch.setattr(engine_module, "COMPACT", 3)
+    e = Engine(spark, str(tmp_path), "secret")
+    e.create_space(catalog.Space("kv"))
+    e.create_space(catalog.Space("safe", enable_wal=True))
+    for i in range(4):
+        e.put("kv", f"k{i}", "a")
+    assert len(e.held["kv"]) == 4 and e._log("kv").batches() == []
+    e.put("kv", "k0", "b")  # the fifth
+    assert "kv" not in e.held and len(e._log("kv").batches()) == 1
+    e.put("kv", "k1", "c")
+    assert e.get("kv", "k1") == "c" and e.get("kv", "k0") == "b" and "kv" not in e.held
+    e.put("safe", "k", "v")
+    assert len(e._log("safe").batches()) == 1
+    e.delete("kv", "k2")
+    e.close()
+    assert e.held == {} and e._log("kv").generation() == 1 and len(e._log("kv").batches()) == 1
+    assert {r.key: r.value for r in Engine(spark, str(tmp_path)).kv_view("kv").collect()} == {"k0": "b", "k1": "c", "k3": "a"}
+    e.put("kv", "k3", "d")
+    assert e.get("kv", "k3") == "d" and e.kv_view("kv").count() == 3
+
+
+def test_two_writers_with_one_clock(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores.time, "time_ns", lambda: 7)
+    one, two = (stores.Log(spark, f"{tmp_path}/log", stores.KV_LOG, "key") for _ in range(2))
+    frame = lambda *rows: spark.createDataFrame(rows, "key string, value string").coalesce(1)
+    one.append(frame(("a", "1"), ("a", "2"), ("b", "1")), "PUT")
+    two.append(frame(("a", "3")), "PUT")
+    one.append(frame(("b", "4"), ("b", "5")), "PUT")
+    assert {r.key: r.value for r in kv.view(one.read()).collect()} == {"a": "3", "b": "5"}
+    assert one.batches() == [1, 2, 3]
+    folder = stores.Folder(spark, f"{tmp_path}/log/_batches")
+    assert not folder.claim(f"{3:012d}") and folder.claim(f"{4:012d}") and one.next_batch() == 5
+
+
+def test_an_untrained_space_gives_no_vectors(spark, tmp_path):
+    e = Engine(spark, str(tmp_path), "secret")
+    e.create_space(catalog.Space("v", "vector", 2, "IVF2", "L2"))
+    e.insert("v", 1, [0.0, 1.0])
+    with pytest.raises(kv.KeyNotFound):
+        e.get_vector("v", 1)
+    e.insert("v", 2, [1.0, 1.0])
+    assert e.get_vector("v", 1) == [0.0, 1.0]
+    with pytest.raises(ValueError):
+        e.use_space("none")
+    assert e.current is None
+
+
+def test_range_join_equals_single_searches(spark):
+    s = ramp(spark)
+    got = {(r.query_id, r.id, r.distance) for r in vectors.range_join(s.where("id % 20 = 0"), s, 50.0, block=2).collect()}
+    want = {(q.id, r.id, r.distance) for q in s.where("id % 20 = 0").collect() for r in vectors.within(s, list(q.vector), 50.0).collect()}
+    assert got == want and want
 
 
 def test_stream_equals_batch(spark, tmp_path):
