@@ -78,14 +78,17 @@ def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-#: A key with more than 1 / HOT of all rows is hot, so there are fewer than HOT such keys.
-HOT = 1000
+#: A key with more than 1 / HOT of all rows is hot, so there are fewer than HOT such keys; rows of a table of keys
+#: that is broadcast whole.
+HOT, FEW_KEYS = 1000, 100_000
 
 
 def join_counted(many: DataFrame, one: DataFrame, key: str, rows: str, total: int, how: str = "inner") -> DataFrame:
-    """many joined with one, which has each key once and in column `rows` how many rows of many have it, `total` in
-    all. The rows of hot keys, which may be a third of all, meet a broadcast of fewer than HOT rows and stay
-    where they are; the others are shuffled by key."""
+    """many joined with one, a written table which has each key once and in column `rows` how many rows of many have it,
+    `total` in all. A short one is broadcast. Of a longer one only the hot keys are, fewer than HOT rows, so the rows of
+    many that have them, which may be a third of all, stay where they are; the others are shuffled by key."""
+    if one.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
+        return many.join(F.broadcast(one), key, how)
     hot = F.col(rows) * HOT > total
     few = one.where(hot)
     if few.isEmpty():

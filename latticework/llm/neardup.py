@@ -28,7 +28,7 @@ SHINGLE, CELLS, MINIMA = 5, 28, 4
 #: The similarity of a link, as a ratio of whole numbers.
 LEAST = (4, 5)
 #: Texts and shingles of one part of a block; two parts meet in one task.
-PART_TEXTS, PART_SHINGLES = 2048, 4 << 20
+PART_TEXTS, PART_SHINGLES = 1024, 1 << 20
 #: Candidates that a broadcast may hold (16 bytes each); more are joined.
 CANDIDATES = 4 << 20
 FACTORS = np.random.default_rng(51).integers(0, 1 << 63, CELLS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from latticework.llm import common as C
 
-SAMPLE = 20_000
+#: Labelled rows of a fit, and how many labels for each of them are looked up in the documents at most: some of their
+#: documents may be missing or not to be learned from.
+SAMPLE, CANDIDATES = 20_000, 4
 
 STATS = ("log_bytes", "log_words", "word_bytes", "upper", "digit", "symbol", "mark", "bar", "stop", "newline", "high", "distinct", "adjacent", "longest")
 KINDS = np.zeros((256, 9))
@@ -206,12 +208,21 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.0015) -> Model:
     return Model(float(b), [r for r in rules if r.weight], linear)
 
 
+def candidates(labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, y) of the labels 0 and 1, each id once; of more than CANDIDATES * sample about so many, the smallest by a hash
+    of the id. Written, and small enough for a broadcast."""
+    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
+    marks = C.materialize(marks, "labels")
+    n, most = marks.count(), CANDIDATES * sample
+    return marks if n <= most else marks.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < F.lit(int((1 << 63) * (most / n))))
+
+
 def learn(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
     """The model from (doc_id, st) and labels, both restricted by the caller to what may be learned from. Of more labelled
     rows than `sample` those with the smallest hashes are taken. A threshold on the hash leaves about half as many again
     before they are sorted, so what reaches the driver does not grow with the tables."""
-    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = C.materialize(stats.select("doc_id", "st").join(marks, "doc_id").withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "st"), 1)), "labelled")
+    marks = candidates(labels, label_col, id_col, sample)
+    rows = C.materialize(stats.select("doc_id", "st").join(F.broadcast(marks), "doc_id").withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "st"), 1)), "labelled")
     n = rows.count()
     if n > 1.5 * sample:
         rows = rows.where(F.col("h") < F.lit(int((1 << 63) * (1.5 * sample / n))))
