@@ -18,7 +18,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops the documents that the quality classifier rejects (score under 0.7). A null text is judged as an empty one;
     rows with null or repeated ids are judged each by their own text, and null ids are never learned from."""
     labels = C.read(spark, sf_dir, "labels", "doc_id", "quality")
-    learned = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").where(C.crc_mod(F.col("doc_id"), 4) != 2)
+    some = F.broadcast(quality.candidates(labels).select("doc_id"))
+    learned = docs.join(some, "doc_id", "left_semi").where(C.crc_mod(F.col("doc_id"), 4) != 2)
     model = quality.learn(quality.statistics_of(learned), labels)
     return quality.accepted(docs, model, 0.7).select(*COLUMNS)
 
@@ -35,7 +36,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     null or repeated ids are too. A null text holds none and stays."""
     marked = docs.withColumn("_text", neardup.text_hash())
     found = postings.contamination(marked, C.read(spark, sf_dir, "benchmark", "item_id", "text"), id_col="_text")
-    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("_text")).distinct()
+    hit = C.materialize(found.where("n_hit > 0").select(F.col("doc_id").alias("_text")).distinct(), "hit-texts")
+    hit = C.small(hit, 1_000_000)  # numbers of 8 bytes
     return marked.join(hit, "_text", "left_anti").select(*COLUMNS)
 
 
