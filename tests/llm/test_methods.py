@@ -29,8 +29,10 @@ def test_word_hashes_tell_words_apart():
     assert (moved == h).all()
 
 
-def test_hot_keys_are_joined_like_others(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_hot_keys_are_joined_like_others(spark, monkeypatch, few):
     monkeypatch.setattr(C, "HOT", 10)
+    monkeypatch.setattr(C, "FEW_KEYS", few)
     many = spark.createDataFrame([(0, i) for i in range(60)] + [(i, i) for i in range(1, 41)], "k long, v long")
     one = many.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("k <> 7").withColumn("w", F.col("k") + 100)
     got = C.join_counted(many, one, "k", "n", 100)
