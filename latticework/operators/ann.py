@@ -157,3 +157,36 @@ def hashed_topk(space: DataFrame, query: list[float], k: int, bucket: float = 1.
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=SEED).fit(points)
     near = model.approxNearestNeighbors(points, Vectors.dense(query), max(1, k) * 4)
     return V.topk(near.select("id", "vector"), query, k)
+
+
+def hashed(space: DataFrame, dim: int, tables: int, width: int, bucket: float, seed: int = SEED) -> DataFrame:
+    """Adds cells: for each table one number made of `width` projections, each cut into buckets of that length."""
+    w = np.random.default_rng(seed).normal(size=(dim, tables * width))
+    w /= np.linalg.norm(w, axis=0)
+
+    @F.pandas_udf("array<long>")
+    def cells(v):
+        import pandas as pd
+
+        x = np.stack(v.to_numpy()).astype(float) if len(v) else np.zeros((0, dim))
+        cut = np.floor(x @ w / bucket).astype(np.int64).reshape(len(x), tables, width)
+        key = np.zeros((len(x), tables), np.int64)
+        for i in range(width):
+            key = key * np.int64(1_000_003) + cut[:, :, i]
+        return pd.Series(list(key))
+
+    return space.where("vector is not null").withColumn("cells", cells("vector"))
+
+
+def hashed_join(queries: DataFrame, space: DataFrame, k: int, metric: str = "L2", bucket: float = 1.0, tables: int = 24, width: int = 4) -> DataFrame:
+    """(query_id, rank, id, distance): the k nearest of every query (id, vector) among the vectors that share a cell with it.
+    A pair that shares several cells is scored in the first of them only, so no distinct is needed."""
+    check_metric(metric)
+    some = space.where("vector is not null").select(F.size("vector").alias("n")).first()
+    dim = some["n"] if some else 1
+    points = hashed(space.select("id", "vector"), dim, tables, width, bucket).select("id", "vector", "cells", F.posexplode("cells").alias("i", "cell"))
+    sought = hashed(queries.select(F.col("id").alias("query_id"), "vector"), dim, tables, width, bucket)
+    sought = sought.select("query_id", F.col("vector").alias("q"), F.col("cells").alias("q_cells"), F.posexplode("cells").alias("i", "cell"))
+    first = F.array_position(F.zip_with("cells", "q_cells", lambda a, b: a == b), True) == F.col("i") + 1
+    pairs = points.join(sought, ["i", "cell"]).where(first)
+    return ranked(pairs.select("query_id", "id", M.distance(metric, F.col("vector"), F.col("q")).alias("d")), k, metric)

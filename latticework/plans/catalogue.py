@@ -243,7 +243,7 @@ def pq_topk(spark: SparkSession, d: str) -> DataFrame:
 def pq_rerank(spark: SparkSession, d: str) -> DataFrame:
     s = space(spark, d)
     pq = ann.ProductQuantizer.fit(s, 64, 8, codes=64)
-    return pq.rerank(pq.encode(s), s, stored(s, QUERY_ID), 10)
+    return pq.join(s.where("id % 20 = 0"), pq.encode(s), s, 10, "InnerProduct")
 
 
 @query("hnsw_exact_topk", ranked(M.sql("L2", EMB, "q"), 10))
@@ -256,7 +256,7 @@ def hnsw_exact_topk(spark: SparkSession, d: str) -> DataFrame:
 @query("hashed_topk")
 def hashed_topk(spark: SparkSession, d: str) -> DataFrame:
     s = space(spark, d)
-    return ann.hashed_topk(s, stored(s, QUERY_ID), 10)
+    return ann.hashed_join(s.where("id % 20 = 0"), s.repartition(spark.sparkContext.defaultParallelism), 10)
 
 
 # Key-value logs: the events of each user; an error event deletes the key.

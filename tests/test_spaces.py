@@ -90,6 +90,26 @@ def test_quantizer_recall(spark):
     assert hits >= 27
 
 
+@pytest.mark.parametrize("name", ["ivf_kmeans_topk", "pq_topk", "pq_rerank", "hashed_topk"])
+def test_index_queries_recall(spark, name):
+    where = "/root/testdata/sf0.01"
+    exact_name = "topk_ip_join" if name == "pq_rerank" else "topk_l2_join"
+    near = lambda q: {(r.query_id, r.id) for r in catalogue.queries()[q](spark, where).collect()}
+    found, exact = near(name), near(exact_name)
+    assert {q for q, _ in exact} == {q for q, _ in found} and len(found & exact) >= 0.9 * len(exact)
+
+
+def test_hashed_join_scores_each_pair_once(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)] + [(60, [0.0] * 8), (61, [0.0] * 8), (62, None)]
+    space = spark.createDataFrame(rows, "id long, vector array<double>")
+    wide = ann.hashed_join(space, space, 5, bucket=1e9, width=1)
+    exact = vectors.knn_join(space, space, 5)
+    assert wide.groupBy("query_id", "id").count().where("count > 1").isEmpty()
+    assert {q for q, in wide.select("query_id").distinct().collect()} == set(range(62)) and exact.count() == 62 * 5
+    assert ann.hashed_join(space.limit(0), space, 5).isEmpty() and ann.hashed_join(space, space.limit(0), 5).isEmpty()
+
+
 def test_list_pruning_reaches_the_scan(spark, tmp_path):
     space, path = ramp(spark), f"{tmp_path}/lists"
     cs = ann.centres(space, 4).tolist()
