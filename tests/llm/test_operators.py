@@ -213,7 +213,7 @@ def test_tokens_equal_the_library():
 def test_genetic_crossover_keeps_every_item():
     rng = random.Random(3)
     lengths = [rng.randint(1, 900) for _ in range(300)]
-    a, b = packing.evolve(lengths, 1000, 1, [], 0, 1), packing.evolve(lengths, 1000, 2, [], 3)
+    a, b = packing.evolve(lengths, 1000, 1, [], 0, 1)[0], packing.evolve(lengths, 1000, 2, [], 3)[0]
     child = packing.crossover(a, b, lengths, 1000, rng)
     assert sorted(x for bin_ in child[0] for x in bin_) == list(range(300))
     assert all(1000 - sum(lengths[x] for x in bin_) == r >= 0 for bin_, r in zip(*child, strict=True))
