@@ -10,7 +10,11 @@ Only L2 and InnerProduct are served approximately.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -22,6 +26,8 @@ from latticework.operators import vectors as V
 ITERATIONS, SEED = 25, 1234
 #: Training rows for each centre at most; a documented bound on what a fit reads.
 POINTS_PER_CENTRE = 256
+#: Queries that one broadcast of a join by codes holds, bins of their distances, and rows scored at once.
+JOIN_BLOCK, BINS, SLAB = 256, 4096, 4096
 
 
 def required_training(index_type: str) -> int:
@@ -100,8 +106,8 @@ class ProductQuantizer:
         w = dim // m
         return cls([centres(space.withColumn("slice", F.slice("vector", i * w + 1, w)), codes, "slice", 10, seed + i) for i in range(m)])
 
-    def encode(self, space: DataFrame) -> DataFrame:
-        """(id, codes): the nearest entry of each slice."""
+    def encode(self, space: DataFrame, *keep: str) -> DataFrame:
+        """(id, codes) and the columns to keep: the nearest entry of each slice."""
         books = self.books
 
         @F.pandas_udf("array<short>")
@@ -113,7 +119,7 @@ class ProductQuantizer:
             out = np.stack([V.block_distances("L2", x[:, i * w : (i + 1) * w], b).argmin(1) for i, b in enumerate(books)], axis=1)
             return pd.Series(list(out.astype(np.int16)))
 
-        return space.select("id", codes("vector").alias("codes"))
+        return space.select("id", codes("vector").alias("codes"), *keep)
 
     def tables(self, query: list[float], metric: str = "L2") -> list[list[float]]:
         q = np.array(query, float)
@@ -133,19 +139,74 @@ class ProductQuantizer:
         listed = self.topk(codes, query, short * max(1, k), metric).select("id")
         return V.topk(space.join(F.broadcast(listed), "id", "left_semi"), query, k, metric)
 
-    def join(self, queries: DataFrame, codes: DataFrame, space: DataFrame, k: int, metric: str = "L2", share: float = 0.2, short: int = 20) -> DataFrame:
-        """The exact k nearest of every query (id, vector) from a short list by codes, of short * k rows or a share of
-        the table, whichever is more."""
+    def join(self, queries: DataFrame, coded: DataFrame, k: int, metric: str = "L2", share: float = 0.2, short: int = 20, block: int = JOIN_BLOCK) -> DataFrame:
+        """The exact k nearest of every query (id, vector) from a short list by codes of (id, codes, vector), of short * k
+        rows or a share of the table, whichever is more, and all that tie with its last one.
+
+        Queries go out in blocks. One pass over the codes counts the distances of each query in bins, which tells how far its
+        short list reaches; a second one scores the rows within reach exactly, and each task keeps its own best k."""
         check_metric(metric)
-        w, n = self.width, max(short * max(1, k), int(-(-share * codes.count() // 1)))
-        part = lambda i: F.slice("vector", i * w + 1, w)
-        tables = F.array(*[F.array(*[M.distance(metric, part(i), V.literal(c)) for c in b.tolist()]) for i, b in enumerate(self.books)])
-        sought = queries.where("vector is not null").select(F.col("id").alias("query_id"), F.col("vector").alias("q"), tables.alias("tables"))
-        terms = F.transform("codes", lambda c, i: F.get(F.get("tables", i), c.cast("int")))
-        d = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
-        listed = ranked(codes.crossJoin(sought).select("query_id", "id", d.alias("d")), n, metric).select("query_id", "id")
-        near = listed.join(space.select("id", "vector"), "id").join(sought.select("query_id", "q"), "query_id")
-        return ranked(near.select("query_id", "id", M.distance(metric, F.col("vector"), F.col("q")).alias("d")), k, metric)
+        least = max(short * max(1, k), math.ceil(share * coded.count()))
+        asked = queries.select(F.col("id").cast("long").alias("id"), "vector").where("vector is not null")
+        blocks = max(1, -(-asked.count() // block))
+        out = None
+        for b in range(blocks):
+            rows = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).collect()
+            found = self._block(rows, coded.where("vector is not null"), max(1, k), metric, least)
+            out = found if out is None else out.union(found)
+        return ranked(out, k, metric)
+
+    def _block(self, rows: list, coded: DataFrame, k: int, metric: str, least: int) -> DataFrame:
+        """(query_id, id, d) of one block of queries: the best k of each task."""
+        sc, w, sign = coded.sparkSession.sparkContext, self.width, -1.0 if M.similarity(metric) else 1.0
+        ids, q = np.array([r["id"] for r in rows], np.int64), np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), w * len(self.books))
+        tables = [sign * V.block_distances(metric, q[:, i * w : (i + 1) * w], b) for i, b in enumerate(self.books)]
+        low, high = sum(t.min(1) for t in tables), sum(t.max(1) for t in tables)
+        sent = sc.broadcast((ids, q, tables, low, BINS / np.maximum(high - low, 1e-300)))
+
+        def bins_of(codes: np.ndarray, tables: list[np.ndarray], low: np.ndarray, scale: np.ndarray) -> np.ndarray:
+            d = sum(t[:, codes[:, i]] for i, t in enumerate(tables))
+            return np.clip((d - low[:, None]) * scale[:, None], 0, BINS - 1).astype(np.int64)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, _, tables, low, scale = sent.value
+            seen = np.zeros(len(ids) * BINS, np.int64)
+            for batch in batches:
+                codes = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, -1)
+                for lo in range(0, len(codes) if len(ids) else 0, SLAB):
+                    at = bins_of(codes[lo : lo + SLAB], tables, low, scale) + np.arange(len(ids))[:, None] * BINS
+                    seen += np.bincount(at.ravel(), minlength=len(seen))
+            some = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(some // BINS), pa.array(some % BINS), pa.array(seen[some])], names=["q", "bin", "n"])
+
+        counted = coded.select("codes").mapInArrow(count, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        w_ = Window.partitionBy("q").orderBy("bin")
+        reach = counted.withColumn("before", F.sum("n").over(w_) - F.col("n")).where(F.col("before") < least).groupBy("q").agg(F.max("bin").alias("bin"))
+        last = np.full(len(ids), -1, np.int64)
+        for r in reach.collect():  # one row for each query of the block
+            last[r["q"]] = r["bin"]
+        within = sc.broadcast(last)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q, tables, low, scale = sent.value
+            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+            for batch in batches:
+                own = batch.column(0).to_numpy()
+                codes = np.asarray(batch.column(1).flatten()).reshape(len(own), -1)
+                v = np.asarray(batch.column(2).flatten(), np.float64).reshape(len(own), -1)
+                for lo in range(0, len(own) if len(ids) else 0, SLAB):
+                    near = bins_of(codes[lo : lo + SLAB], tables, low, scale) <= within.value[:, None]
+                    for i, there in enumerate(near):
+                        at = lo + np.flatnonzero(there)
+                        d = np.concatenate((best[i][0], sign * V.block_distances(metric, q[i : i + 1], v[at])[0]))
+                        of = np.concatenate((best[i][1], own[at]))
+                        order = np.lexsort((of, d))[:k]
+                        best[i] = d[order], of[order]
+            n = [len(of) for _, of in best]
+            d, of = (np.concatenate([np.zeros(0, t), *[b[i] for b in best]]) for i, t in ((0, np.float64), (1, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(of), pa.array(sign * d)], names=["query_id", "id", "d"])
+
+        return coded.select(F.col("id").cast("long").alias("id"), "codes", "vector").mapInArrow(score, "query_id long, id long, d double")
 
 
 def hashed_topk(space: DataFrame, query: list[float], k: int, bucket: float = 1.0, tables: int = 8) -> DataFrame:

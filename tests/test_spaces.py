@@ -99,6 +99,24 @@ def test_index_queries_recall(spark, name):
     assert {q for q, _ in exact} == {q for q, _ in found} and len(found & exact) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("metric", ["L2", "InnerProduct"])
+def test_quantizer_join(spark, metric):
+    """In blocks and whole it finds the same; with the whole table as its short list, what the exact join finds."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(300)]
+    space = spark.createDataFrame([*rows, (300, rows[7][1]), (301, None)], "id long, vector array<float>").repartition(3)
+    pq = ann.ProductQuantizer.fit(space.where("vector is not null"), 8, 2, codes=16)
+    coded = pq.encode(space.where("vector is not null"), "vector").cache()
+    asked = space.where("id % 20 = 0 or id = 301")
+    flat = lambda df: sorted((r.query_id, r.rank, r.id, r.distance) for r in df.collect())
+    found = flat(pq.join(asked, coded, 5, metric))
+    assert found == flat(pq.join(asked, coded, 5, metric, block=3)) and len(found) == 16 * 5
+    exact = flat(vectors.knn_join(asked, space, 5, metric))
+    assert flat(pq.join(asked, coded, 5, metric, share=1.0)) == exact
+    assert len({x[:3] for x in found} & {x[:3] for x in exact}) >= 0.9 * len(exact)
+    assert pq.join(asked.limit(0), coded, 5).isEmpty() and pq.join(asked, coded.limit(0), 5).isEmpty()
+
+
 def test_hashed_join_scores_each_pair_once(spark):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(60)] + [(60, [0.0] * 8), (61, [0.0] * 8), (62, None)]
