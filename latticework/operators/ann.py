@@ -11,13 +11,14 @@ Only L2 and InnerProduct are served approximately.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions import metrics as M
@@ -45,6 +46,19 @@ def required_training(index_type: str) -> int:
     return max(need, 256) if "PQ" in index_type else need
 
 
+def layout(index_type: str) -> tuple[int, int]:
+    """(lists, slices) of an index type: IVF32,PQ4 has 32 lists and codes of 4 slices. Types with a graph, and Flat, have
+    neither and are searched exactly."""
+    lists = slices = 0
+    for part in map(str.strip, index_type.split(",")):
+        kind, digits = re.match(r"([A-Za-z]*)([0-9]*)", part).groups()
+        if kind == "HNSW":
+            return 0, 0
+        lists = int(digits or 0) if kind == "IVF" else lists
+        slices = int(digits or 0) if kind == "PQ" else slices
+    return lists, slices
+
+
 def check_metric(metric: str) -> None:
     if metric not in ("L2", "InnerProduct"):
         raise ValueError(f"approximate search is for L2 and InnerProduct, not {metric}")
@@ -125,12 +139,15 @@ class ProductQuantizer:
         q = np.array(query, float)
         return [V.block_distances(metric, q[None, i * self.width : (i + 1) * self.width], b)[0].tolist() for i, b in enumerate(self.books)]
 
+    def distance(self, query: list[float], metric: str = "L2") -> Column:
+        tables = F.array(*[F.array(*map(F.lit, t)) for t in self.tables(query, metric)])
+        terms = F.transform("codes", lambda c, i: F.get(F.get(tables, i), c.cast("int")))
+        return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
+
     def topk(self, codes: DataFrame, query: list[float], k: int, metric: str = "L2") -> DataFrame:
         """(rank, id, distance) by asymmetric distances: sums of look-ups in a table for each slice."""
         check_metric(metric)
-        tables = F.array(*[F.array(*map(F.lit, t)) for t in self.tables(query, metric)])
-        terms = F.transform("codes", lambda c, i: F.get(F.get(tables, i), c.cast("int")))
-        d = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
+        d = self.distance(query, metric)
         best = codes.select("id", d.alias("d")).withColumn("key", M.nearest_first(metric, F.col("d"))).orderBy("key", "id").limit(max(1, k))
         return best.select(F.row_number().over(Window.orderBy("key", "id")).cast("long").alias("rank"), "id", F.round("d", 6).alias("distance"))
 
@@ -209,6 +226,37 @@ class ProductQuantizer:
         return coded.select(F.col("id").cast("long").alias("id"), "codes", "vector").mapInArrow(score, "query_id long, id long, d double")
 
 
+class Index:
+    """Inverted lists, codes, or both: centres of the lists (none: one list) and codebooks (none: no codes)."""
+
+    def __init__(self, cs: list[list[float]], books: list[list[list[float]]]) -> None:
+        self.cs, self.pq = cs, ProductQuantizer([np.array(b, float) for b in books]) if books else None
+
+    @classmethod
+    def fit(cls, space: DataFrame, index_type: str, dim: int) -> Index:
+        """Learned from at most POINTS_PER_CENTRE rows for each centre. A dimension that the slices do not divide has no codes."""
+        lists, slices = layout(index_type)
+        books = ProductQuantizer.fit(space, dim, slices).books if slices and dim % slices == 0 else []
+        return cls(centres(space, lists).tolist() if lists else [], [b.tolist() for b in books])
+
+    def rows(self, space: DataFrame) -> DataFrame:
+        """(id, vector, codes, list_id) as they are stored."""
+        coded = self.pq.encode(space, "vector") if self.pq else space.select("id", "vector", F.lit(None).cast("array<short>").alias("codes"))
+        return assign(coded, self.cs) if self.cs else coded.withColumn("list_id", F.lit(0))
+
+    def write(self, space: DataFrame, path: str) -> None:
+        self.rows(space).repartition("list_id", F.pmod(F.xxhash64("id"), F.lit(16))).write.mode("overwrite").partitionBy("list_id").parquet(path)
+
+    def candidates(self, stored: DataFrame, query: list[float], k: int, metric: str, probes: int = 1, short: int = 20) -> DataFrame:
+        """(id, vector) that are to be ranked exactly: the nearest lists, and of them the short * k nearest by codes. Lists that
+        are not probed are not read."""
+        check_metric(metric)
+        near = stored.where(F.col("list_id").isin(nearest_list(query, self.cs, probes))) if self.cs else stored
+        if self.pq:
+            near = near.withColumn("key", M.nearest_first(metric, self.pq.distance(query, metric))).orderBy("key", "id").limit(short * max(1, k))
+        return near.select("id", "vector")
+
+
 def hashed_topk(space: DataFrame, query: list[float], k: int, bucket: float = 1.0, tables: int = 8) -> DataFrame:
     """Approximate L2 search by random-projection hashing."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

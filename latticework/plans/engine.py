@@ -15,12 +15,13 @@ from latticework.sources import stores
 
 SPACES = "name string, engine_type string, dimension int, index_type string, metric string, enable_wal boolean"
 USERS = "username string, password_hash string, role string, permissions map<string, string>"
-#: Commands that change spaces or users; only admins may give them.
+INDEX = "number int, generation int, batch long, centres array<array<double>>, books array<array<array<double>>>"
 #: Writes of a space without a write-ahead log that are held back before they go out as one batch, and batches of a log
 #: after which it is compacted.
 HELD, COMPACT = 1000, 64
 #: The replies that clients see when a guard refuses.
 REFUSALS = {auth.ADMIN: "admin access required", auth.WRITE: "write permission denied", auth.READ: "read permission denied"}
+#: Commands that change spaces or users; only admins may give them.
 CHANGES = ("CREATE_SPACE", "DELETE_SPACE", "CREATE_USER", "UPDATE_USER_PASSWORD", "UPDATE_USER_ROLE", "UPDATE_USER_PERMISSIONS", "DELETE_USER")
 
 
@@ -46,7 +47,10 @@ class Engine:
     """Spaces and users under a shared folder. Single writes go out at once in a space with a write-ahead log; in others they
     are held back and go out in batches, before any read of the space and on close."""
 
-    def __init__(self, spark: SparkSession, root: str, admin_password: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str, admin_password: str | None = None, probes: int | None = None, short: int = 20) -> None:
+        """With probes, L2 and InnerProduct searches of IVF and PQ spaces use their index, approximately: that many lists, and
+        short * k candidates by codes. Without, all searches are exact."""
+        self.probes, self.short = probes, short
         self.spark, self.root = spark, root.rstrip("/")
         self._spaces = stores.Document(spark, f"{self.root}/spaces.json", SPACES)
         self._users = stores.Document(spark, f"{self.root}/users.json", USERS)
@@ -55,6 +59,7 @@ class Engine:
         self.current: str | None = None
         self.changes = threading.RLock()
         self.held: dict[str, list[tuple]] = {}
+        self.appends: dict[str, threading.RLock] = {}
 
     # spaces
     def create_space(self, space: catalog.Space) -> str:
@@ -102,6 +107,15 @@ class Engine:
         self.flush(name)
         return self._log(name)
 
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Append a batch of insertions; the log is neither compacted nor indexed meanwhile."""
+        log = self.log(name)
+        with self.appending(name):
+            log.append(rows, "PUT")
+
+    def appending(self, name: str) -> threading.RLock:
+        return self.appends.setdefault(name, threading.RLock())
+
     def hold(self, name: str, op: str, key, value=None) -> None:
         with self.changes:
             self.held.setdefault(name, []).append((op, key, value))
@@ -123,7 +137,7 @@ class Engine:
                 self.compact(name)
 
     def compact(self, name: str) -> None:
-        with self.changes:
+        with self.changes, self.appending(name):
             log = self.log(name)
             log.compact(vectors.view if self.space(name).engine_type == catalog.VECTOR else kv.view)
 
@@ -140,7 +154,7 @@ class Engine:
 
     def put_batch(self, name: str, rows: DataFrame) -> str:
         self.space(name, catalog.KEY_VALUE)
-        self.log(name).append(rows, "PUT")
+        self.append(name, rows)
         return "OK"
 
     def get(self, name: str, key: str) -> str:
@@ -165,7 +179,7 @@ class Engine:
         bad = vectors.mismatches(rows, space.dimension).first()
         if bad:
             raise ValueError(bad["error"])
-        self.log(name).append(rows.select("id", F.col("vector").cast("array<float>").alias("vector")), "PUT")
+        self.append(name, rows.select("id", F.col("vector").cast("array<float>").alias("vector")))
         return "VECTOR_INSERTED"
 
     def insert(self, name: str, id: int, vector: list[float]) -> str:
@@ -204,7 +218,51 @@ class Engine:
         return space
 
     def search_topk(self, name: str, query: list[float], k: int = 1) -> DataFrame:
-        return vectors.topk(self.vectors(name), query, k, self._query(name, query).metric)
+        space = self._query(name, query)
+        if self.probes and space.metric in ("L2", "InnerProduct") and any(ann.layout(space.index_type)) and self.trained(name):
+            return vectors.topk(self._candidates(name, query, k), query, k, space.metric)
+        return vectors.topk(self.vectors(name), query, k, space.metric)
+
+    # the index of a space: learned and stored on the first search that needs it, good for one generation of the log
+    def train(self, name: str) -> None:
+        """Learn and store the index of a space from its live vectors. Batches that come later are searched exactly beside
+        it until the log is compacted; then it is learned anew. Files of the index before it are kept for searches under way
+        and go with the one after. Other engines must not append to the space meanwhile."""
+        with self.changes, self.appending(name):
+            space, log = self.space(name, catalog.VECTOR), self.log(name)
+            batch, generation = max(log.batches(), default=0), log.generation()
+            live = vectors.view(log.read().where(F.col("seq.batch") <= batch))
+            found = ann.Index.fit(live, space.index_type, space.dimension)
+            document, folder = self._index(name), stores.Folder(self.spark, f"{self.root}/{name}/lists")
+            before = document.read()
+            number = before[0]["number"] + 1 if before else 1
+            found.write(live, f"{self.root}/{name}/lists/{number}")
+            books = [b.tolist() for b in found.pq.books] if found.pq else []
+            document.write([{"number": number, "generation": generation, "batch": batch, "centres": found.cs, "books": books}])
+            for n in folder.names():
+                if int(n) < number - 1:
+                    folder.delete(n)
+
+    def _index(self, name: str) -> stores.Document:
+        return stores.Document(self.spark, f"{self.root}/{name}/index.json", INDEX)
+
+    def _candidates(self, name: str, query: list[float], k: int) -> DataFrame:
+        """(id, vector) from the index and from the batches after it. What these batches replace or remove is taken out before
+        the short list is cut, so it costs no place there."""
+        with self.changes:
+            log, found = self.log(name), self._index(name).read()
+            if not found or found[0]["generation"] != log.generation():
+                self.train(name)
+                found = self._index(name).read()
+        at = found[0]
+        stored = self.spark.read.schema("id long, vector array<float>, codes array<short>, list_id int").parquet(f"{self.root}/{name}/lists/{at['number']}")
+        index = ann.Index(at["centres"], at["books"])
+        metric = self.space(name).metric
+        if max(log.batches(), default=0) <= at["batch"]:
+            return index.candidates(stored, query, k, metric, self.probes, self.short)
+        later = log.read().where(F.col("seq.batch") > at["batch"])
+        stored = stored.join(later.select("id").distinct(), "id", "left_anti")
+        return index.candidates(stored, query, k, metric, self.probes, self.short).union(vectors.view(later))
 
     def range_search(self, name: str, query: list[float], radius: float = 1.0) -> DataFrame:
         return vectors.within(self.vectors(name), query, radius, self._query(name, query).metric)

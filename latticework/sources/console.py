@@ -147,7 +147,8 @@ def serve(args: argparse.Namespace) -> None:
     limiter = Limiter.load(spark, where, args.limit)
     save = lambda x: x.save(spark, where)
     service.on_signals(limiter, save)
-    commands, _, stop = service.start(Engine(spark, args.root, args.admin_password), limiter, args.host, args.port, saved=save)
+    engine = Engine(spark, args.root, args.admin_password, probes=args.probes)
+    commands, _, stop = service.start(engine, limiter, args.host, args.port, saved=save)
     print(f"listening on {commands.server_address}", flush=True)
     try:
         while not stop.wait(3600):
@@ -155,6 +156,8 @@ def serve(args: argparse.Namespace) -> None:
     except KeyboardInterrupt:
         stop.set()
         commands.shutdown()
+    finally:
+        engine.close()
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -170,6 +173,7 @@ def main(argv: list[str] | None = None) -> None:
         if name == "serve":
             p.add_argument("root")
             p.add_argument("--limit", type=int, default=1000, help="where no limit is saved")
+            p.add_argument("--probes", type=int, help="lists that a search of an index space reads; without, searches are exact")
     args = top.parse_args(argv)
     args.work(args)
 

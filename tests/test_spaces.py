@@ -136,6 +136,40 @@ def test_list_pruning_reaches_the_scan(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(list_id" in plan or "PartitionFilters: [(list_id" in plan
 
 
+@pytest.mark.parametrize("index_type, metric", [("IVF8", "L2"), ("IVF4,PQ2", "L2"), ("PQ2", "InnerProduct")])
+def test_space_uses_its_index(spark, tmp_path, index_type, metric):
+    """Searches of an index space: near the exact ones, with later batches, removals, restarts and compaction."""
+    rng = np.random.default_rng(9)
+    spots = rng.normal(size=(8, 4)) * 5
+    rows = [(i, (spots[i % 8] + rng.normal(size=4)).astype(np.float32).tolist()) for i in range(320)]
+    e = Engine(spark, str(tmp_path), "secret", probes=3)
+    e.create_space(catalog.Space("v", catalog.VECTOR, 4, index_type, metric))
+    assert e.search_topk("v", rows[0][1], 5).isEmpty()  # not trained yet
+    e.insert_batch("v", spark.createDataFrame(rows, "id long, vector array<float>"))
+    exact = lambda q, k: [r.id for r in vectors.topk(vectors.view(e.log("v").read()), q, k, metric).collect()]
+    asked = [rows[i][1] for i in (0, 9, 77)]
+    hits = lambda: sum(len(set(exact(q, 10)) & {r.id for r in e.search_topk("v", q, 10).collect()}) for q in asked)
+    assert hits() >= 27
+    best = exact(asked[0], 2)
+    e.remove_vector("v", best[0])
+    e.insert("v", 5000, [x * 1.01 for x in rows[best[1]][1]])
+    e.insert("v", best[1], [-99.0] * 4)
+    got = [r.id for r in e.search_topk("v", asked[0], 10).collect()]
+    assert best[0] not in got and len(got) == len(set(got)) == 10
+    assert (5000 in got) == (5000 in exact(asked[0], 10)) and (best[1] in got) == (best[1] in exact(asked[0], 10))
+    number = e._index("v").read()[0]["number"]
+    assert hits() >= 27 and e._index("v").read()[0]["number"] == number == 1
+    e.compact("v")
+    e = Engine(spark, str(tmp_path), "secret", probes=3)
+    assert hits() >= 27 and e._index("v").read()[0]["number"] == 2
+    assert best[0] not in [r.id for r in e.search_topk("v", asked[0], 10).collect()]
+
+
+def test_layout():
+    kinds = {"Flat": (0, 0), "IVF32": (32, 0), "IVF32,Flat": (32, 0), "PQ8": (0, 8), " IVF64 , PQ16": (64, 16), "HNSW8,PQ4": (0, 0)}
+    assert {t: ann.layout(t) for t in kinds} == kinds
+
+
 def test_kv_last_write_wins(spark):
     log = spark.createDataFrame([(1, "PUT", "k", "a"), (2, "PUT", "k", "b"), (1, "PUT", "gone", "x"), (2, "DEL", "gone", None), (1, "PUT", "back", "x"), (2, "DEL", "back", None), (3, "PUT", "back", ""), (1, "PUT", "r", "__deleted__")], "seq long, op string, key string, value string")
     assert {r.key: r.value for r in kv.view(log).collect()} == {"k": "b", "back": "", "r": "__deleted__"}
