@@ -225,6 +225,17 @@ def ivf_fixed_centroids_probe1(spark: SparkSession, d: str) -> DataFrame:
     return ann.ivf_topk(ann.assign(s, cs), cs, stored(s, IVF_QUERY_ID), 50)
 
 
+@query("ivf_fixed_centroids_probe3", f"""with c as (select vec_id as cid, {EMB} as c from embeddings where vec_id < {LISTS}),
+    a as (select e.vec_id as id, {EMB} as v, c.cid, row_number() over (partition by e.vec_id order by {M.sql('L2', EMB, 'c.c')}, c.cid) as n from embeddings e, c),
+    p as (select q.id as query_id, q.v as q, l.id, {M.sql('L2', 'l.v', 'q.v')} as d from a q join a l on l.cid = q.cid where q.id % 20 = 0 and q.n <= 3 and l.n = 1)
+    select query_id, cast(rank as bigint) as rank, id, distance from (select query_id, id, round(d, 6) as distance, row_number() over (partition by query_id order by d, id) as rank from p) where rank <= 10""")
+def ivf_fixed_centroids_probe3(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 20, in the three lists nearest to it."""
+    s = space(spark, d)
+    cs = [list(r["vector"]) for r in s.where(F.col("id") < LISTS).orderBy("id").collect()]
+    return ann.ivf_join(s.where("id % 20 = 0"), ann.assign(s, cs), cs, 10, probes=3)
+
+
 @query("ivf_kmeans_topk")
 def ivf_kmeans_topk(spark: SparkSession, d: str) -> DataFrame:
     s = space(spark, d)
