@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def parse(text: Column, dim: int) -> Column:
@@ -33,8 +35,14 @@ def parse_one(text: str, dim: int) -> list[float]:
     return out
 
 
+@F.arrow_udf(StringType())
+def _fixed(vectors: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else ",".join(["%.6f" % x for x in v if x is not None]) for v in vectors.to_pylist()], pa.string())
+
+
 def formatted(vector: Column) -> Column:
-    return F.array_join(F.transform(vector.cast("array<double>"), lambda x: F.format_string("%.6f", x)), ",")
+    """Six decimals of the exact binary value, ties to the even digit, as C's printf; Java's rounds its shortest decimal form half up."""
+    return _fixed(vector.cast("array<double>"))
 
 
 def results_json(results, order: str = "rank"):

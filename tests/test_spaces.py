@@ -315,6 +315,18 @@ def test_text_forms(spark):
     assert T.results_json(spark.createDataFrame([], "rank long, id long, distance double")).first().results == "[]"
 
 
+def test_text_rounds_as_sql(spark):
+    """Multiples of 1/128 end in a 5 at the seventh decimal: SQL takes the even digit."""
+    import duckdb
+
+    vs = [[x / 128 for x in range(-9, 10, 2)], [0.1234565, 1e-9, -1e-9, 5e-7, 1e23, 2.5, 12345678.0078125], [float("inf"), -float("inf"), float("nan"), 0.0, -0.0], []]
+    rows = spark.createDataFrame(list(enumerate(vs)), "id long, v array<double>")
+    got = [r.t for r in rows.select("id", T.formatted(F.col("v")).alias("t")).orderBy("id").collect()]
+    text = "select coalesce(array_to_string(list_transform($v::double[], lambda x: printf('%.6f', x)), ','), '')"
+    assert got == [duckdb.execute(text, {"v": v}).fetchone()[0] for v in vs] and got[0].startswith("-0.070312,-0.054688")
+    assert spark.createDataFrame([(None,)], "v array<float>").select(T.formatted(F.col("v")).alias("t")).first().t is None
+
+
 def test_limiter(spark, tmp_path):
     x = management.Limiter(2)
     assert x.acquire() and x.acquire() and not x.acquire() and x.warning()
