@@ -354,3 +354,10 @@ def test_index_queries_find_most_neighbours_of_every_query(spark, name):
     recall = len(exact & found) / len(exact)
     print(name, "recall", recall)
     assert len(found) == len(exact) and recall >= 0.9
+
+
+def test_parsed_text_is_what_sql_parses(spark):
+    """The text of 9/128 is that of SQL, so its number is too."""
+    rows = spark.createDataFrame([(1, [9 / 128, -1 / 128])], "id long, v array<float>")
+    got = rows.select(T.parse(T.formatted(F.col("v")), 2).alias("v")).first().v
+    assert got == [np.float32("0.070312"), np.float32("-0.007812")]
