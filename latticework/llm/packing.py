@@ -50,13 +50,14 @@ REMEMBER, LONGEST = 200_000_000, 256
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-#: The splitting rule of byte-level BPE vocabularies of this kind (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The splitting rule of byte-level BPE vocabularies of this kind (fixed value), but for its `\s+(?!\S)`: where no two characters of
+#: white space stand together that is the same as `\s+`, and a rule that does not look ahead is matched about twice as fast.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
 
 def fast_encoder(path: str):
     """The vocabulary of a tokenizers file as a tiktoken encoder, or None if its merges are not in the
-    order of its ids or if it prepares texts in another way."""
+    order of its ids or if it prepares texts in another way. Only for texts without white space beside white space."""
     import json
 
     import tiktoken
@@ -78,10 +79,11 @@ def fast_encoder(path: str):
 
 
 class Tokens:
-    """Ids of texts, as the tokenizers file defines them. A space between two characters that are not
-    white space is always a boundary of the byte-level splitting rule, so the chunks between such spaces are
+    """Ids of texts, as the tokenizers file defines them. Texts of Latin letters, ASCII signs and single spaces and line
+    ends are encoded whole by tiktoken with the same vocabulary. Of all others, a space between two characters that are
+    not white space is always a boundary of the byte-level splitting rule, so the chunks between such spaces are
     encoded each by itself, and repeated ones are looked up. New chunks of Latin letters are encoded by
-    tiktoken with the same vocabulary, several times as fast; all others by tokenizers itself."""
+    tiktoken too, several times as fast; all others by tokenizers itself."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -97,12 +99,18 @@ class Tokens:
         self.split = re.compile(r"(?<=\S) (?=\S)").split
         self.rare = re.compile(r"[^\S \n]").search
         self.plain = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
+        self.simple = re.compile(r"[\n -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
+        self.doubled = re.compile(r"[ \n]{2}").search
         self.known = Known(self.chunk)
 
     def odd(self, text: str) -> bool:
         """Whether white space may stand beside a space."""
         return "  " in text or " \n" in text or "\n " in text or bool(self.rare(text))
 
+    def whole(self, text: str) -> bool:
+        """Whether tiktoken may encode the text as it is."""
+        return bool(self.simple(text)) and not self.doubled(text) and not any(t in text for t in self.special)
+
     def chunk(self, x: str) -> bytes:
         """Ids of a space and a chunk. Letters followed by signs are two pieces of the splitting rule."""
         if self.fast and (x.isascii() or self.plain(x)) and not any(t in x for t in self.special):
@@ -116,10 +124,12 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """32-bit ids of each text, little-endian."""
-        parts = [self.split(t) if self.odd(t) else t.split(" ") for t in texts]
+        whole = [bool(self.fast) and self.whole(t) for t in texts]
+        parts = [self.split(t) if self.odd(t) else t.split(" ") for t, w in zip(texts, whole, strict=True) if not w]
         first = self.encoder.encode_batch([p[0] for p in parts], add_special_tokens=False)
         ids = self.known.__getitem__
-        out = [b"".join([array.array("I", e.ids).tobytes(), *map(ids, p[1:])]) for p, e in zip(parts, first, strict=True)]
+        rest = (b"".join([array.array("I", e.ids).tobytes(), *map(ids, p[1:])]) for p, e in zip(parts, first, strict=True))
+        out = [array.array("I", self.fast(t)).tobytes() if w else next(rest) for t, w in zip(texts, whole, strict=True)]
         return out if sys.byteorder == "little" else [np.frombuffer(x, ">u4").astype("<u4").tobytes() for x in out]
 
 

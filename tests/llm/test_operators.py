@@ -210,6 +210,16 @@ def test_tokens_equal_the_library():
     assert tokens.encode(odd) == [np.array(e.ids, "<u4").tobytes() for e in tokens.encoder.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_plain_texts_are_encoded_whole():
+    """In one call, without a look-up for each of their words; others are cut into chunks."""
+    tokens = packing.Tokens(packing.tokenizer_path())
+    plain = ["", " ", "\n", "a", " a b\nc d ", "it's we'LL o'clock 'tis", "Été, ciónciez! groß\nÄpfel 12a3 ß###", "x" * 3000, "a.b,c (d) \\n 1 2\n3"]
+    other = ["a  b", "a \nb", "a\n\nb c", "a\tb c", "d × e", "日本 語", "a <|endoftext|> b", " ".join(tokens.special)]
+    equal = lambda texts: tokens.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tokens.encoder.encode_batch(texts, add_special_tokens=False)]
+    assert equal(plain) and not tokens.known
+    assert equal(other + plain) and tokens.known
+
+
 def test_genetic_crossover_keeps_every_item():
     rng = random.Random(3)
     lengths = [rng.randint(1, 900) for _ in range(300)]
