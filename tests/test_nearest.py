@@ -57,6 +57,22 @@ def test_memory_of_a_task_does_not_grow_with_pairs(metric):
     assert most < 48e6
 
 
+def test_jensenshannon_by_a_matrix_product():
+    """There was a logarithm for each element of each pair; the bound holds for copies, far sizes and zeros."""
+    v = np.abs(np.random.default_rng(10).normal(size=(3000, 64))).astype(np.float32)
+    v[:300] *= np.float32(1e-7)
+    v[300:400, ::2] *= np.float32(1e-12)
+    v[400:410, 3] = 0
+    rough = nearest.Rough("JensenShannon", v[:500], v, 0.0)
+    key, exact = rough.tile(0, 500, 0, 3000), nearest.block_distances("JensenShannon", v[:500].astype(np.float64), v.astype(np.float64))
+    assert rough.product and np.array_equal(np.isnan(key), np.isnan(exact))
+    assert np.nanmax(np.abs(key - exact) / rough.slack[:, None]) <= 1
+    u = np.linspace(0, 60, 100_001)
+    f = (np.log(2) - np.logaddexp(0, -u)) / (1 + np.exp(-u)) + (np.log(2) - np.logaddexp(0, u)) / (1 + np.exp(u))
+    fit = nearest.WAVES[0] + sum(w * np.cos(j * nearest.PITCH * u) / np.cosh(u / 2) for j, w in enumerate(nearest.WAVES[1:]))
+    assert np.abs(f - fit).max() < nearest.FIT
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
