@@ -123,3 +123,42 @@ def test_one_search_for_many_queries_by_codes(spark):
     pq = ann.ProductQuantizer.fit(space, 4, 2, codes=8)
     found = pq.join(space, pq.encode(space, "vector"), 3)
     assert plan_of(found).count("MapInArrow") == 1 and found.count() == 3600
+
+
+def test_rounding_is_that_of_spark(spark):
+    rng = np.random.default_rng(11)
+    tie = (rng.integers(0, 10**7, 3000) + 0.5) / 1e6
+    d = np.concatenate([rng.random(3000) * 9, tie, np.nextafter(tie, 9), np.nextafter(tie, 0), tie * 2.0**20, 10 ** rng.uniform(-12, 300, 3000), [0.0, -0.0, 1e-7, 5e-7, np.inf, np.nan]])
+    d = np.concatenate([d, -d])
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(d.tolist())], "i long, d double").coalesce(1)
+    want = df.select(F.round("d", 6).alias("d")).toArrow()["d"].to_numpy()
+    assert np.array_equal(nearest.rounded(d), want, equal_nan=True)
+
+
+@pytest.mark.parametrize("kind", ["single", "double", "zeros", "small", "infinite"])
+@pytest.mark.parametrize("metric", ["L2", "InnerProduct", "L1", "Linf"])
+def test_within_equals_brute_force(metric, kind, monkeypatch):
+    """Only pairs that the product leaves open are scored term by term."""
+    v = odd(metric, kind)
+    if kind == "infinite":
+        v[10, 2], v[11, 3], v[12:14, 4] = np.inf, np.nan, (3e38, -3e38)
+    q, exact = v[:40], []
+    d = nearest.block_distances(metric, q.astype(np.float64), v.astype(np.float64))
+    radius = float(np.partition(d[np.isfinite(d)], 9000)[9000])  # the distance of some pair
+    scored = nearest.pair_distances
+    monkeypatch.setattr(nearest, "pair_distances", lambda m, a, b, p=0.0: (exact.append(len(a)), scored(m, a, b, p))[1])
+    with np.errstate(invalid="ignore"):
+        x, y = np.nonzero(d > radius if metric == "InnerProduct" else d < radius)
+    found = sorted((int(i), int(j), float(r)) for part in nearest.within(q, v, radius, metric) for i, j, r in zip(*part, strict=True))
+    assert found == list(zip(x.tolist(), y.tolist(), nearest.rounded(d[x, y]).tolist(), strict=True))
+    if kind in ("single", "double"):
+        assert sum(exact) < 2000
+
+
+def test_range_join_has_no_decimal_arithmetic_for_each_row(spark):
+    """Spark's round makes a BigDecimal of each of the rows, which may be a tenth of all pairs."""
+    space = spark.range(300).select("id", F.array(*[F.sin(F.col("id") * j).cast("float") for j in range(1, 4)]).alias("vector"))
+    found = vectors.range_join(space.where("id % 20 = 0"), space, 0.5)
+    want = space.alias("a").where("a.id % 20 = 0").crossJoin(space.alias("b")).select(F.col("a.id").alias("q"), F.col("b.id"), M.distance("L2", F.col("b.vector"), F.col("a.vector")).alias("d"))
+    assert "round" not in plan_of(found)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.where("d < 0.5").select("q", "id", F.round("d", 6)).collect()))
