@@ -73,6 +73,32 @@ def test_jensenshannon_by_a_matrix_product():
     assert np.abs(f - fit).max() < nearest.FIT
 
 
+@pytest.mark.parametrize("metric", ["L2", "InnerProduct", "JensenShannon"])
+def test_long_rows_leave_the_bound_of_others(metric, monkeypatch):
+    """One row a thousand times as long made the bound so wide that all pairs of its slab were scored exactly."""
+    v = np.abs(np.random.default_rng(12).normal(size=(6000, 16))).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[[70, 4000]] *= np.float32([[1e3], [1e-7]])
+    v[5000] *= np.float32(1e6)
+    ids, asked = np.arange(len(v))[::-1].copy(), np.r_[0:40, 70, 4000]
+    scored, pairs = [], nearest.pair_distances
+    monkeypatch.setattr(nearest, "pair_distances", lambda m, q, v, p=0.0: scored.append(len(q)) or pairs(m, q, v, p))
+    best = nearest.Best(ids[asked], v[asked], 7, metric)
+    some = best.worth(ids, v)
+    best.add(ids[some], v[some])
+    want_id, want_key = brute(metric, ids, v[asked], v, 7)
+    assert np.array_equal(best.key[best.group], want_key) and np.array_equal(best.id[best.group], want_id)
+    assert sum(scored) < 0.2 * len(asked) * len(v)
+    if metric == "JensenShannon":
+        return
+    scored.clear()
+    radius, d = 0.3, nearest.block_distances(metric, v[asked].astype(np.float64), v.astype(np.float64))
+    x, y, got = map(np.concatenate, zip(*nearest.within(v[asked], v, radius, metric), strict=True))
+    order, (a, b) = np.lexsort((y, x)), np.nonzero(d > radius if metric == "InnerProduct" else d < radius)
+    assert np.array_equal(x[order], a) and np.array_equal(y[order], b) and np.array_equal(got[order], nearest.rounded(d[a, b]))
+    assert sum(scored) < 0.2 * len(asked) * len(v)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
